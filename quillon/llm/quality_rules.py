@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, release, words_of, written
+from .common import SPACE_CHARS, written
 
 #: Frequent function words of the languages compared.
 COMMON_WORDS = {
@@ -27,47 +27,82 @@ COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no"],
 }
-#: Character classes as Java character classes; what is left is a class of its own.
-CHAR_CLASSES = ["\\p{Ll}", "\\p{Lu}", "\\p{Nd}", SPACES[1:-1], ".,;:'\"()?-", "#*$%&|<>!"]
+#: Character classes, as Java character classes. White space, symbols and the rest come with them.
+CHAR_CLASSES = ["\\p{Lu}", "0-9", ".,;:'\"()?!-"]
+SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+N_CLASSES = len(CHAR_CLASSES) + 3
 
 
-def _marks(words: Column) -> Column:
-    """A 64-bit mark of each window of words; null under eight words."""
-    last = F.size(words) - (WINDOW - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+def _without(text: Column, chars: str, by: str = "") -> Column:
+    """text with each of the characters replaced; plain replacements of one character need no regex."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(by))
+    return text
+
+
+def _pairs_of(marks: str, apart: int) -> Column:
+    """A mark of each two marks that lie ``apart`` places from each other."""
+    rest = F.greatest(F.size(marks) - apart, F.lit(0))
+    return F.zip_with(F.slice(marks, 1, rest), F.slice(marks, apart + 1, rest), lambda a, b: F.xxhash64(a, b))
 
 
 def rule_columns(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs and the rule counters n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long)."""
+    """docs and the rule counters n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long).
+
+    A window of eight words is known by a 64-bit mark, made from marks of one, two and four words. The columns
+    that begin with an underscore are steps that ``histograms`` goes on with.
+    """
     zero = F.lit(0).cast("long")
-    d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_w", words_of(F.col("_t")))
-    d = d.withColumn("_m", _marks(F.col("_w")))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    d = d.withColumn("_l", lines)
-    # Only texts with a repeated mark pay for the sort. What a lambda looks up is a column of its own: Spark would
-    # evaluate an expression in its place for every element.
+    d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    d = d.withColumn("_s", _without(F.col("_t"), SPACE_CHARS[1:], " "))
+    d = d.withColumn("_h1", F.transform(F.array_remove(F.split("_s", " "), ""), lambda w: F.xxhash64(w)))
+    d = d.withColumn("_h2", _pairs_of("_h1", 1)).withColumn("_h4", _pairs_of("_h2", 2))
+    d = d.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    # Only texts in which four words repeat can repeat eight, and only texts that repeat eight pay for the sort.
+    # What a lambda looks up is a column of its own: Spark would evaluate an expression in its place each time.
+    d = d.withColumn("_h8", F.when(F.size(F.array_distinct("_h4")) < F.size("_h4"), _pairs_of("_h4", 4)))
     d = d.withColumn(
         "_r",
         F.when(
-            F.size(F.array_distinct("_m")) < F.size("_m"),
-            F.sort_array(F.transform("_m", lambda m, i: F.struct(m.alias("m"), i.alias("i")))),
+            F.size(F.array_distinct("_h8")) < F.size("_h8"),
+            F.sort_array(F.transform("_h8", lambda m, i: F.struct(m.alias("m"), i.alias("i")))),
         ),
     )
     near = lambda r, k: (F.get("_r", k - 1)["m"] == r["m"]) | (F.get("_r", k + 1)["m"] == r["m"])
     twins = F.filter(F.transform("_r", lambda r, k: F.when(near(r, k), r["i"])), lambda i: i.isNotNull())
     d = d.withColumn("_p", F.sort_array(twins))
-    gap = F.aggregate(
+    # the union of windows that begin at the sorted places: each reaches to the next one at most
+    covered = F.aggregate(
         F.transform("_p", lambda p, k: F.least(F.coalesce(F.get("_p", k + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)).cast("long")),
         zero, lambda a, x: a + x,
     )
     return d.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.char_length(F.regexp_replace("_t", SPACES + "+", "")).cast("long"),
-        "n_symbols": F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long"),
+        "n_words": F.size("_h1").cast("long"),
+        "word_chars": F.char_length(F.replace("_s", F.lit(" "), F.lit(""))).cast("long"),
+        "n_symbols": (F.octet_length("_t") - F.octet_length(_without(F.col("_t"), SYMBOLS))).cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": F.coalesce(gap, zero),
-    }).drop("_m", "_r", "_l", "_p")
+        "n_repeat_words": F.coalesce(covered, zero),
+    }).drop("_s", "_h2", "_h4", "_h8", "_r", "_l", "_p")
+
+
+def histograms(d: DataFrame, lang: str) -> DataFrame:
+    """Adds the histograms _cc (character classes) and _cw (common words of the language, then all other words),
+    arrays of double."""
+    n_chars = F.char_length("_t").cast("double")
+    classes = [F.regexp_count("_t", F.lit(f"[{c}]")).cast("double") for c in CHAR_CLASSES]
+    classes += [n_chars - F.col("word_chars"), F.col("n_symbols").cast("double")]
+    mark = {w: F.xxhash64(F.lit(w)) for ws in COMMON_WORDS.values() for w in ws}
+    d = d.withColumn("_hits", F.filter("_h1", lambda h: h.isin(list(mark.values()))))
+    vocabulary = F.array().cast("array<bigint>")
+    for code, ws in COMMON_WORDS.items():
+        vocabulary = F.when(F.col(lang) == code, F.array(*[mark[w] for w in ws])).otherwise(vocabulary)
+    d = d.withColumn("_v", vocabulary)
+    d = d.withColumn("_cw", F.transform("_v", lambda v: F.size(F.filter("_hits", lambda h: h == v)).cast("double")))
+    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    d = d.withColumn("_cw", F.concat("_cw", F.array(F.col("n_words") - summed("_cw"))))
+    d = d.withColumn("_cc", F.array(*classes))
+    return d.withColumn("_cc", F.concat("_cc", F.array(F.greatest(n_chars - summed("_cc"), F.lit(0.0))))).drop("_hits", "_v")
 
 
 def _jsd(p: Column, q: Column) -> Column:
@@ -84,37 +119,16 @@ def _jsd(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total(halves) / 2, F.lit(0.0)))
 
 
-def histograms(d: DataFrame, lang: str) -> DataFrame:
-    """Adds the histograms _cc (character classes) and _cw (common words of the language, then all
-    other words), arrays of double."""
-    classes = [F.regexp_count("_t", F.lit(f"[{c}]")).cast("double") for c in CHAR_CLASSES]
-    every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    d = d.withColumn("_h", F.filter(F.transform("_w", F.lower), lambda w: w.isin(every)))
-    vocabulary = F.array().cast("array<string>")
-    for code, ws in COMMON_WORDS.items():
-        vocabulary = F.when(F.col(lang) == code, F.array(*map(F.lit, ws))).otherwise(vocabulary)
-    counts = F.transform(vocabulary, lambda v: F.size(F.filter("_h", lambda h: h == v)).cast("double"))
-    rest = F.char_length("_t").cast("double")
-    d = d.withColumn("_cw", counts).withColumn(
-        "_cw",
-        F.concat("_cw", F.array(F.size("_w") - F.aggregate("_cw", F.lit(0.0), lambda a, x: a + x))),
-    )
-    return d.withColumn("_cc", F.array(*classes, rest)).withColumn(
-        "_cc",
-        F.transform("_cc", lambda v, i: F.when(i == len(CHAR_CLASSES), F.greatest(v - F.aggregate(F.slice("_cc", 1, len(CHAR_CLASSES)), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))).otherwise(v)),
-    ).drop("_h")
-
-
 def language_references(d: DataFrame, lang: str) -> DataFrame:
     """One row for each language: the summed histograms of its texts. A sum for each histogram cell, with
     map-side combine, so that a language of any size is a few numbers from each task."""
     widest = max(map(len, COMMON_WORDS.values())) + 1
-    cells = [F.sum(F.get("_cc", F.lit(i))).alias(f"c{i}") for i in range(len(CHAR_CLASSES) + 1)]
+    cells = [F.sum(F.get("_cc", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)]
     cells += [F.sum(F.get("_cw", F.lit(i))).alias(f"w{i}") for i in range(widest)]
     sums = d.where(~F.col("base_failed")).groupBy(F.col(lang).alias("_lang")).agg(*cells)
     return sums.select(
         "_lang",
-        F.array(*[f"c{i}" for i in range(len(CHAR_CLASSES) + 1)]).alias("_rc"),
+        F.array(*[f"c{i}" for i in range(N_CLASSES)]).alias("_rc"),
         F.filter(F.array(*[f"w{i}" for i in range(widest)]), lambda x: x.isNotNull()).alias("_rw"),
     )
 
@@ -148,7 +162,7 @@ def quality_rules(
     min_chars: int = 200,
     min_judged_words: int = 80,
     max_class_distance: float = 0.28,
-    max_word_distance: float = 0.29,
+    max_word_distance: float = 0.27,
 ) -> DataFrame:
     """(key, lang, counters, base_failed, class_distance, word_distance, kept), a row for each row of docs.
 
@@ -160,6 +174,6 @@ def quality_rules(
         "base_failed",
         (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct),
     )
-    table = written(histograms(d, "lang").drop("_t", "_w", "text"), "rules")
+    table = written(histograms(d, "lang").drop("_t", "_h1", "text"), "rules")
     out = _verdict(table, "lang", min_chars, min_judged_words, max_class_distance, max_word_distance)
     return out.withColumnRenamed("doc_id", key)
