@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack_documents
 from .piece_codec import encode_documents
+from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .secret_scan import secret_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +32,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_piece_codec, op4_quality_rules, op9_packing)}
+QUERIES = {f.__name__: f for f in (
+    op3_piece_codec, op4_quality_rules, op7_secret_scan, op8_quality_classifier, op9_packing,
+)}
 ORACLES: dict[str, str] = {}
