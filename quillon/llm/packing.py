@@ -233,7 +233,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(model)
         packer = Packer(TaskContext.get().partitionId() << 36, own.ends, window, sentence_cost, inner_cost, stretch)
-        kind, end = None, np.uint32(end_id).astype("<u4").tobytes()
+        kind, last = None, np.uint32(end_id).astype("<u4").tobytes()
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if rows:
@@ -249,7 +249,7 @@ def pack_documents(
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, end in in_portions(texts):
                 for k, ids in zip(keys[begin:end], own.encode(texts[begin:end]), strict=True):
-                    packer.add(k, ids + end)
+                    packer.add(k, ids + last)
                 if packer.total >= AT_A_TIME:
                     yield from out(packer.cut())
         yield from out(packer.cut(last=True))

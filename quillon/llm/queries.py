@@ -9,6 +9,7 @@ from .piece_codec import encode_documents
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .secret_scan import secret_report
+from .toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_piece_codec, op4_quality_rules, op7_secret_scan, op8_quality_classifier, op9_packing,
+    op3_piece_codec, op4_quality_rules, op6_toxicity, op7_secret_scan, op8_quality_classifier, op9_packing,
 )}
 ORACLES: dict[str, str] = {}
