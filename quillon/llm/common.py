@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,18 @@ SPACES = "[\\x20\\x09-\\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package through Spark's file server where their path doesn't already hold it."""
+    root = Path(__file__).resolve().parents[2]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if str(root) in known or getattr(spark.sparkContext, "_quillon_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="quillon-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/quillon", "zip", root, "quillon"))
+    spark.sparkContext._quillon_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: the cluster's spark.checkpoint.dir. Only where that is unset (a local
     session, as in tests) a folder of our own is made and set."""
