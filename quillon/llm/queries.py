@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship
+from .near_duplicates import near_duplicates
 from .packing import pack_documents
 from .piece_codec import encode_documents
 from .quality_classifier import quality_scores
@@ -24,6 +25,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -52,6 +57,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_piece_codec, op4_quality_rules, op6_toxicity, op7_secret_scan, op8_quality_classifier, op9_packing,
+    op1_near_duplicates, op3_piece_codec, op4_quality_rules, op6_toxicity, op7_secret_scan, op8_quality_classifier, op9_packing,
 )}
 ORACLES: dict[str, str] = {}
