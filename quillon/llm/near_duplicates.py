@@ -104,18 +104,26 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, bands: int, rows:
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids: most others fall to a filter of a fixed size before the join."""
+def _split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs that may have their doc_id among ids, and rows that have not, by a bit filter of a fixed size."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    cells = ids.select(place("doc_id").alias("p")).groupBy(F.shiftright("p", 6).alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")
+    cells = written(
+        ids.select(place("doc_id").alias("p")).groupBy(F.shiftright("p", 6).alias("cell")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")
+        ),
+        "filter",
     )
-    near = (
+    seen = (
         docs.withColumn("p", place("doc_id")).withColumn("cell", F.shiftright("p", 6))
-        .join(F.broadcast(cells), "cell").where("(bits & shiftleft(1L, cast(p % 64 as int))) <> 0")
-        .drop("p", "cell", "bits")
+        .join(F.broadcast(cells), "cell", "left")
     )
-    return near.join(ids, "doc_id", "left_semi")
+    hit = "coalesce((bits & shiftleft(1L, cast(p % 64 as int))) <> 0, false)"
+    return seen.where(hit).drop("p", "cell", "bits"), seen.where(f"not {hit}").drop("p", "cell", "bits")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids: most others fall to the filter before the join."""
+    return _split(docs, ids)[0].join(ids, "doc_id", "left_semi")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import ship
 from .near_duplicates import near_duplicates
@@ -10,6 +11,7 @@ from .packing import pack_documents
 from .piece_codec import encode_documents
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .repeats import without_repeats
 from .secret_scan import secret_report
 from .toxicity import toxicity_scores
 
@@ -56,7 +58,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op3_piece_codec, op4_quality_rules, op6_toxicity, op7_secret_scan, op8_quality_classifier, op9_packing,
+    op10_repeats,
 )}
 ORACLES: dict[str, str] = {}
