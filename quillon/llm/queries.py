@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
+from .embedding_duplicates import linked_vectors
 from .near_duplicates import near_duplicates
 from .packing import pack_documents
 from .piece_codec import encode_documents
@@ -42,6 +43,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -64,7 +69,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op3_piece_codec, op4_quality_rules, op6_toxicity, op7_secret_scan, op8_quality_classifier, op9_packing,
-    op10_repeats,
+    op1_near_duplicates, op3_piece_codec, op4_quality_rules, op5_embedding_duplicates, op6_toxicity,
+    op7_secret_scan, op8_quality_classifier, op9_packing, op10_repeats,
 )}
 ORACLES: dict[str, str] = {}
