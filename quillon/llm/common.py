@@ -63,6 +63,40 @@ def release(*tables: DataFrame) -> None:
             where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bits of the filter of keys, which is at most 2 ** 18 rows of 64 bits.
+FILTER_BITS = 1 << 24
+
+
+def split_by_keys(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs that may have their doc_id among ids, and rows that have not (those without one, too), by a
+    bit filter of a fixed size: what the filter settles needs no shuffle of the texts."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    cells = written(
+        ids.select(place("doc_id").alias("_p")).groupBy(F.shiftright("_p", 6).alias("_cell")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits")
+        ),
+        "filter",
+    )
+    seen = (
+        docs.withColumn("_p", place("doc_id")).withColumn("_cell", F.shiftright("_p", 6))
+        .join(F.broadcast(cells), "_cell", "left")
+    )
+    hit = "coalesce(doc_id is not null and (_bits & shiftleft(1L, cast(_p % 64 as int))) <> 0, false)"
+    return seen.where(hit).select(docs.columns), seen.where(f"not {hit}").select(docs.columns)
+
+
+def only_keys(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids: most others fall to the filter before the join."""
+    return split_by_keys(docs, ids)[0].join(ids, "doc_id", "left_semi")
+
+
+def without_keys(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not in ids."""
+    ids = written(ids, "keys")
+    near, far = split_by_keys(docs, ids)
+    return near.join(ids, "doc_id", "left_anti").select(docs.columns).union(far)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null, empty or blank texts."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

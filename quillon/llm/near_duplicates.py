@@ -30,13 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, written
+from .common import components, only_keys, release, written
 from .piece_codec import in_portions
 from .shingles import shingle_sets
 
-#: Bits of the filter of keys, which is at most 2 ** 18 rows of 64 bits.
-FILTER_BITS = 1 << 24
-
 
 def _first(x: np.ndarray) -> np.ndarray:
     """A permutation of 32-bit numbers."""
@@ -104,28 +101,6 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, bands: int, rows:
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
-def _split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs that may have their doc_id among ids, and rows that have not, by a bit filter of a fixed size."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    cells = written(
-        ids.select(place("doc_id").alias("p")).groupBy(F.shiftright("p", 6).alias("cell")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")
-        ),
-        "filter",
-    )
-    seen = (
-        docs.withColumn("p", place("doc_id")).withColumn("cell", F.shiftright("p", 6))
-        .join(F.broadcast(cells), "cell", "left")
-    )
-    hit = "coalesce((bits & shiftleft(1L, cast(p % 64 as int))) <> 0, false)"
-    return seen.where(hit).drop("p", "cell", "bits"), seen.where(f"not {hit}").drop("p", "cell", "bits")
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids: most others fall to the filter before the join."""
-    return _split(docs, ids)[0].join(ids, "doc_id", "left_semi")
-
-
 def _likely(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree in at least this share of the coordinates."""
     sig = nodes.select("node", "sig")
@@ -158,7 +133,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 )
 
     sets = written(
-        _only(texts, ids).mapInArrow(shingled, "doc_id long, s binary").dropDuplicates(["doc_id"]), "sets"
+        only_keys(texts, ids).mapInArrow(shingled, "doc_id long, s binary").dropDuplicates(["doc_id"]), "sets"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_quotes import quote_threads
 from .common import ship
 from .embedding_duplicates import linked_vectors
 from .near_duplicates import near_duplicates
@@ -32,6 +33,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op2_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_threads(_table(spark, sf_dir, "conversations"))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -69,7 +74,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op3_piece_codec, op4_quality_rules, op5_embedding_duplicates, op6_toxicity,
+    op1_near_duplicates, op2_quote_threads, op3_piece_codec, op4_quality_rules, op5_embedding_duplicates, op6_toxicity,
     op7_secret_scan, op8_quality_classifier, op9_packing, op10_repeats,
 )}
 ORACLES: dict[str, str] = {}

@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
-from .near_duplicates import _only, _split
+from .common import only_keys, release, split_by_keys, written
 from .passages import Passages, passages
 from .piece_codec import in_portions
 
@@ -155,7 +154,7 @@ def _compared(distinct: DataFrame, texts: DataFrame, length: int, most: int) ->
     several = written(distinct.join(counts, "mark"), "several")
     total = several.count()
     asked = several.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "at", "n", "off", "different")).alias("asked"))
-    near = _only(texts, several.select("doc_id").distinct())
+    near = only_keys(texts, several.select("doc_id").distinct())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,41 +239,55 @@ def repeated_stretches(docs: DataFrame, key: str, text: str, length: int = 100,
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("stretches"))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept binary), a row for each row of docs."""
+def _cut(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
+    """docs with the columns _bytes, _removed, _spans (long) and what is left of the text as _kept (binary) and
+    _rest (string, without the bytes of characters that were cut in two; null where the text is).
+
+    Only texts that lose something are shuffled, to meet their stretches, and go through Python."""
     cuts = written(repeated_stretches(docs, key, text, length), "stretches")
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    own = docs.withColumn("doc_id", F.col(key).cast("long")) if key != "doc_id" else docs
+    near, far = split_by_keys(own, cuts.select("doc_id"))
+    zero = F.lit(0).cast("long")
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    columns = own.columns
+    where = columns.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    names = [*columns, "_bytes", "_removed", "_spans", "_kept", "_rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for t, stretches in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw, parts, done, removed, spans, reach = t.encode(), [], 0, 0, 0, -1
+            out: list[list] = [[], [], [], [], []]
+            for t, stretches in zip(batch.column(where).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+                raw, parts, done, removed, spans, reach = (t or "").encode(), [], 0, 0, 0, -1
                 for a, b in sorted((min(x["a"], len(raw)), min(x["b"], len(raw))) for x in stretches):
-                    if a > reach:  # stretches that touch are one
-                        spans += 1
-                    if b > done:
+                    if b > max(a, done):
+                        spans += a > reach  # stretches that touch are one
                         parts.append(raw[done:a])
                         removed += b - max(a, done)
                         done = b
                     reach = max(reach, b)
-                parts.append(raw[done:])
-                for column, value in zip(out, (len(raw), removed, spans, b"".join(parts)), strict=True):
+                kept = b"".join([*parts, raw[done:]])
+                rest = None if t is None else kept.decode("utf-8", "ignore")
+                for column, value in zip(out, (len(raw), removed, spans, kept, rest), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            kept = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *kept], names)
 
-    near, far = _split(own, cuts.select("doc_id"))
-    cut = near.join(cuts, "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("stretches", F.array().cast("array<struct<a:int,b:int>>")).alias("stretches")
-    )
-    zero = F.lit(0).cast("long")
-    whole = far.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
-        F.col("text").cast("binary").alias("kept"),
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    cut = near.join(cuts, "doc_id", "left").select(*columns, F.coalesce("stretches", none).alias("_stretches")).mapInArrow(
+        run, f"{schema}, _bytes long, _removed long, _spans long, _kept binary, _rest string"
     )
-    return cut.mapInArrow(run, schema).union(whole).withColumnRenamed("doc_id", key)
+    whole = far.select(*columns, F.octet_length(raw).cast("long").alias("_bytes"), zero, zero, raw, text)
+    return cut.union(whole)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept binary), a row for each row of docs."""
+    names = [key, "n_bytes", "n_removed", "n_spans", "kept"]
+    return _cut(docs.select(key, text), key, text, length).select(key, "_bytes", "_removed", "_spans", "_kept").toDF(*names)
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
+    """docs with the text cut; a character that lost a byte goes, and a null text stays null."""
+    return _cut(docs, key, text, length).withColumn(text, F.col("_rest")).select(docs.columns)
