@@ -1 +1 @@
-"""Spark-first analytics engine: see the README."""
+"""Reports on keys and partitions."""

@@ -1 +1 @@
-"""Spark-first analytics engine: see the README."""
+"""Relational operators over DataFrames."""

@@ -1 +1 @@
-"""Spark-first analytics engine: see the README."""
+"""Plans: text, operators that ran, their metrics."""

@@ -1 +1 @@
-"""Spark-first analytics engine: see the README."""
+"""Tables: the catalog, Parquet scans and layouts, generated data."""

@@ -1 +1 @@
-"""Spark-first analytics engine: see the README."""
+"""Streaming forms of the summaries."""
