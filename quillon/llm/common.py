@@ -77,12 +77,11 @@ def split_by_keys(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame
         ),
         "filter",
     )
-    seen = (
-        docs.withColumn("_p", place("doc_id")).withColumn("_cell", F.shiftright("_p", 6))
-        .join(F.broadcast(cells), "_cell", "left")
-    )
-    hit = "coalesce(doc_id is not null and (_bits & shiftleft(1L, cast(_p % 64 as int))) <> 0, false)"
-    return seen.where(hit).select(docs.columns), seen.where(f"not {hit}").select(docs.columns)
+    # the row as one column, so that no column of it can clash
+    rows = docs.select(F.struct("*").alias("_row"), place("doc_id").alias("_p"))
+    seen = rows.withColumn("_cell", F.shiftright("_p", 6)).join(F.broadcast(cells), "_cell", "left")
+    hit = "coalesce(_row.doc_id is not null and (_bits & shiftleft(1L, cast(_p % 64 as int))) <> 0, false)"
+    return seen.where(hit).select("_row.*"), seen.where(f"not {hit}").select("_row.*")
 
 
 def only_keys(docs: DataFrame, ids: DataFrame) -> DataFrame:

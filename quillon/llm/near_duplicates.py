@@ -210,6 +210,6 @@ def near_duplicates(
     return table.join(known, F.col("digest") == F.col("d"), "left").select(
         F.col("doc_id").alias(key),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
     )

@@ -240,26 +240,22 @@ def repeated_stretches(docs: DataFrame, key: str, text: str, length: int = 100,
 
 
 def _cut(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """docs with the columns _bytes, _removed, _spans (long) and what is left of the text as _kept (binary) and
-    _rest (string, without the bytes of characters that were cut in two; null where the text is).
+    """(row, bytes, removed, spans, kept binary, rest string): the row of docs and what is left of its text; rest
+    is without the bytes of characters that were cut in two, and null where the text is.
 
     Only texts that lose something are shuffled, to meet their stretches, and go through Python."""
     cuts = written(repeated_stretches(docs, key, text, length), "stretches")
-    own = docs.withColumn("doc_id", F.col(key).cast("long")) if key != "doc_id" else docs
-    near, far = split_by_keys(own, cuts.select("doc_id"))
-    zero = F.lit(0).cast("long")
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    columns = own.columns
-    where = columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    names = [*columns, "_bytes", "_removed", "_spans", "_kept", "_rest"]
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    near, far = split_by_keys(rows, cuts.select("doc_id"))
+    kind = rows.schema["row"].dataType.simpleString()
+    names = ["bytes", "removed", "spans", "kept", "rest", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for t, stretches in zip(batch.column(where).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+            for t, stretches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw, parts, done, removed, spans, reach = (t or "").encode(), [], 0, 0, 0, -1
-                for a, b in sorted((min(x["a"], len(raw)), min(x["b"], len(raw))) for x in stretches):
+                for a, b in sorted((min(x["a"], len(raw)), min(x["b"], len(raw))) for x in stretches or ()):
                     if b > max(a, done):
                         spans += a > reach  # stretches that touch are one
                         parts.append(raw[done:a])
@@ -271,23 +267,25 @@ def _cut(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
                 for column, value in zip(out, (len(raw), removed, spans, kept, rest), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            kept = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *kept], names)
+            made = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, batch.column(2)], names)
 
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    cut = near.join(cuts, "doc_id", "left").select(*columns, F.coalesce("stretches", none).alias("_stretches")).mapInArrow(
-        run, f"{schema}, _bytes long, _removed long, _spans long, _kept binary, _rest string"
+    own = F.col("row").getField(text).alias("body")
+    cut = near.join(cuts, "doc_id", "left").select(own, "stretches", "row").mapInArrow(
+        run, f"bytes long, removed long, spans long, kept binary, rest string, row {kind}"
     )
-    whole = far.select(*columns, F.octet_length(raw).cast("long").alias("_bytes"), zero, zero, raw, text)
+    zero = F.lit(0).cast("long")
+    raw = F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")
+    whole = far.select(F.octet_length(raw).cast("long").alias("bytes"), zero, zero, raw, own, "row")
     return cut.union(whole)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary), a row for each row of docs."""
-    names = [key, "n_bytes", "n_removed", "n_spans", "kept"]
-    return _cut(docs.select(key, text), key, text, length).select(key, "_bytes", "_removed", "_spans", "_kept").toDF(*names)
+    out = _cut(docs.select(key, text), key, text, length).select(f"row.`{key}`", "bytes", "removed", "spans", "kept")
+    return out.toDF(key, "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
     """docs with the text cut; a character that lost a byte goes, and a null text stays null."""
-    return _cut(docs, key, text, length).withColumn(text, F.col("_rest")).select(docs.columns)
+    return _cut(docs, key, text, length).select(F.col("row").withField(text, F.col("rest")).alias("row")).select("row.*")

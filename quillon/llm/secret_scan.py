@@ -10,8 +10,7 @@ endpoint (access, id or endpoint). Weak candidates that overlap a base span are
 All spans are code points, end exclusive. The link is an interval join within one text: the parts are sorted by
 start and swept once in each direction, each part seeing the nearest end before and the nearest start behind
 of the parts that complete it, so that no pairs are made and no row leaves its task. Null and empty texts have
-no spans; repeated rows are scanned one by one; other columns are carried through, and columns of the same name
-as one that is added are replaced.
+no spans; repeated rows are scanned one by one; other columns are carried through as they are.
 """
 
 from __future__ import annotations
@@ -83,7 +82,7 @@ def _mirrored(parts: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
-    """docs with base_spans and linked_spans: arrays of (s, k, e, v), k the place of the kind in KINDS, sorted."""
+    """docs (of two columns, one the text) with base_spans and linked_spans: arrays of (s, k, e, v), k the place of the kind in KINDS, sorted."""
     d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", F.lower("_t"))
     has = lambda *parts: functools.reduce(lambda a, b: a | b, [F.col("_low").contains(x) for x in parts])
     d = d.withColumns({
@@ -133,17 +132,18 @@ def secret_report(docs: DataFrame, key: str = "doc_id", text: str = "text", scop
 
 def redact(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
     """docs with every span replaced by the name of its kind in brackets; overlapping spans by the first's."""
-    d = scan(docs, text, scope).withColumn("_spans", F.sort_array(F.concat("base_spans", "linked_spans")))
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"))
+    d = scan(rows, "body", scope).withColumn("spans", F.sort_array(F.concat("base_spans", "linked_spans")))
     names = F.array(*map(F.lit, KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        kept = F.substring(F.col(text), acc["at"] + 1, x["s"] - acc["at"])
+        kept = F.substring("body", acc["at"] + 1, x["s"] - acc["at"])
         apart = F.concat(acc["out"], kept, F.lit("["), F.get(names, x["k"]), F.lit("]"))
         return F.struct(
             F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], apart).otherwise(acc["out"]).alias("out")
         )
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.lit(1 << 30)))
-    masked = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(F.col(text))
-    return d.withColumn(text, masked).drop("_spans", "base_spans", "linked_spans")
+    rest = lambda acc: F.concat(acc["out"], F.substring("body", acc["at"] + 1, F.lit(1 << 30)))
+    masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("body"))
+    return d.select(F.col("row").withField(text, masked).alias("row")).select("row.*")
