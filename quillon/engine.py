@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,10 +18,15 @@ class Engine:
     def __init__(self, catalog: Catalog):
         self.catalog = catalog
         self.spark = catalog.spark
-        catalog.register()
+        self._views: set[str] = set()
 
     def sql(self, query: str) -> DataFrame:
-        """The result, not run yet. Names are resolved now, so that a wrong one is an error here."""
+        """The result, not run yet. Names are resolved now, so that a wrong one is an error here. Only tables that
+        the query's text names are looked up, so that no other footer is read."""
+        words = set(re.findall(r"\w+", query.lower()))
+        for name in sorted(words.intersection(self.catalog.names) - self._views):
+            self.catalog.table(name).createOrReplaceTempView(name)
+            self._views.add(name)
         return self.spark.sql(query)
 
     def table(self, name: str) -> DataFrame:

@@ -55,8 +55,3 @@ class Catalog:
             if isinstance(field.dataType, NUMBERS):
                 return field.name
         raise ValueError(f"table {name!r} has no numeric column")
-
-    def register(self) -> None:
-        """Makes every table a view that SQL can name."""
-        for name in self.names:
-            self.table(name).createOrReplaceTempView(name)
