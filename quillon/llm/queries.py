@@ -9,6 +9,7 @@ from .chat_quotes import quote_threads
 from .common import ship
 from .embedding_duplicates import linked_vectors
 from .near_duplicates import near_duplicates
+from .oracles import ORACLES
 from .packing import pack_documents
 from .piece_codec import encode_documents
 from .quality_classifier import quality_scores
@@ -17,6 +18,8 @@ from .repeats import without_repeats
 from .secret_scan import secret_report
 from .toxicity import toxicity_scores
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -43,8 +46,7 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "class_distance", "word_distance",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
@@ -77,4 +79,3 @@ QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_quote_threads, op3_piece_codec, op4_quality_rules, op5_embedding_duplicates, op6_toxicity,
     op7_secret_scan, op8_quality_classifier, op9_packing, op10_repeats,
 )}
-ORACLES: dict[str, str] = {}
