@@ -11,8 +11,10 @@ from .engine import Engine
 from .functions import keys
 from .operators.joins import join
 from .operators.summaries import above, group_summary, project, summarize
+from .plans.report import metrics
+from .sources import generated
 from .sources.catalog import Catalog
-from .sources.parquet import layout, scan
+from .sources.parquet import layout, scan, skipping
 from .streaming.windows import tumbling_counts
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -253,6 +255,40 @@ def parquet_layout(c: Catalog) -> DataFrame:
     return layout(c.spark, c.path("lineitem"))
 
 
+@query()
+def scan_report(c: Catalog) -> DataFrame:
+    """Row groups that bounds on a column in file order and on one in no order read and skip."""
+    rows = []
+    for column, share in (("l_orderkey", 0.95), ("l_quantity", 0.98)):
+        top = c.table("lineitem").agg(F.max(column)).first()[0]
+        found = skipping(c.spark, c.path("lineitem"), column, top * share)
+        rows.append((column, float(top * share), found.read, found.skipped))
+    return c.spark.createDataFrame(rows, "column string, bound double, groups_read int, groups_skipped int")
+
+
+@query()
+def join_report(c: Catalog) -> DataFrame:
+    """What the operators of a merge join counted: rows, bytes shuffled, bytes spilled, partitions."""
+    counted = metrics(_orders_customers(c, "merge"))
+    rows = [(k, name, counter, value) for k, (name, own) in enumerate(counted) for counter, value in sorted(own.items())]
+    return c.spark.createDataFrame(rows, "place int, operator string, counter string, value long")
+
+
+@query()
+def gen_users(c: Catalog) -> DataFrame:
+    return generated.users(c.spark, 10_000)
+
+
+@query()
+def gen_orders(c: Catalog) -> DataFrame:
+    return generated.orders(c.spark, 40_000, 10_000)
+
+
+@query()
+def gen_skewed_orders(c: Catalog) -> DataFrame:
+    return generated.skewed_orders(c.spark, 40_000, 10_000)
+
+
 # the flagship
 
 
