@@ -63,24 +63,27 @@ def quote_threads(messages: DataFrame, most_rounds: int = 64) -> DataFrame:
         .withColumn("parent", F.coalesce("chosen", "before"))
         .select(
             "conv_id", "turn", "parent", F.coalesce("parent", "turn").alias("up"),
-            F.col("parent").isNotNull().cast("long").alias("depth"),
+            F.col("parent").isNotNull().cast("long").alias("depth"), F.col("parent").isNull().alias("done"),
         ),
         "replies",
     )
-    below = state.agg(F.sum("depth")).first()[0]
     for _ in range(most_rounds):
-        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        active = state.where("not done")
+        if active.isEmpty():
+            break
+        # only messages that don't know their thread yet look further up
+        above = state.select(
+            "conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends")
+        )
         after = written(
-            state.join(above, ["conv_id", "up"]).select(
-                "conv_id", "turn", "parent", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")
-            ),
+            active.join(above, ["conv_id", "up"]).select(
+                "conv_id", "turn", "parent", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
+                F.col("ends").alias("done"),
+            ).union(state.where("done")),
             "replies",
         )
         release(state)
-        state, now = after, after.agg(F.sum("depth")).first()[0]
-        if now == below:
-            break
-        below = now
+        state = after
     else:
         raise RuntimeError("threads have not converged")
     counts = linked.groupBy("conv_id", "turn").agg(F.count("*").alias("linked"))
