@@ -36,7 +36,7 @@ SCHEMA = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 #: Chunks of text a worker keeps the ids of, and ids that are cut at a time.
-KEPT, AT_A_TIME = 600_000, 1 << 19
+KEPT, AT_A_TIME = 350_000, 1 << 19
 
 
 class WordTokenizer(dict):

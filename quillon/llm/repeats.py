@@ -40,7 +40,7 @@ from .passages import Passages, passages
 from .piece_codec import in_portions
 
 FILTER_BITS = 1 << 26
-AT_A_TIME = 1_500_000
+AT_A_TIME = 600_000
 
 
 def _portions(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[pa.RecordBatch, list, Passages]]:
