@@ -5,8 +5,8 @@ first scatters a mark, the second is shifted circularly by one more step for eac
 is kept. ``rows`` coordinates make a band; texts that share a band are candidates, and two texts are linked when
 their whole sets have a Jaccard similarity of at least ``percent`` hundredths, counted exactly.
 
-With 40 bands of 5 rows a pair at 0.8 shares no band with a chance of 1e-7; pairs whose 200 coordinates, of which
-four bits are kept, agree in less than ``likely`` never leave the join (at 0.8 a chance of 2e-5, at 0.82 of 1e-6).
+With 40 bands of 5 rows a pair at 0.8 shares no band with a chance of 1e-7; pairs whose ``size`` coordinates, of which
+four bits are kept, agree in less than ``likely`` never leave the join (at 0.8 a chance of 4e-5, at 0.82 of 2e-7).
 
 Copies (equal sets) are one node, found by a digest of the set with map-side combine. A band's texts are never
 paired with each other at once: first each is compared with ``stars`` texts of its band only (that of the least
@@ -68,10 +68,10 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out.T
 
 
-def sketches(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
+def sketches(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int, size: int) -> DataFrame:
     """(doc_id, n, digest, bands, sig) for each row; digest and what follows are null for empty sets. sig holds
     four bits of each coordinate, sixteen coordinates in a number."""
-    wide = -(-bands * rows // 16) * 16
+    wide = -(-size // 16) * 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,14 +81,14 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, bands: int, rows:
                 full = [k for k, s in enumerate(sets) if len(s)]
                 digest, band, sig = ([None] * len(sets) for _ in range(3))
                 if full:
-                    made = np.ascontiguousarray(signatures([sets[k] for k in full], bands * rows))
-                    cells = made.reshape(len(full), bands, rows).astype(np.uint64)
+                    made = np.ascontiguousarray(signatures([sets[k] for k in full], size))
+                    cells = made[:, : bands * rows].reshape(len(full), bands, rows).astype(np.uint64)
                     mark = np.zeros((len(full), bands), np.uint64)
                     for r in range(rows):
                         mark = (mark ^ cells[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
                         mark ^= mark >> np.uint64(32)
                     small = np.zeros((len(full), wide), np.uint8)
-                    small[:, : bands * rows] = made & np.uint32(15)
+                    small[:, :size] = made & np.uint32(15)
                     packed = (small[:, ::2] | (small[:, 1::2] << 4)).view(np.int64)
                     for k, m, s in zip(full, (mark >> np.uint64(32)).astype(np.int32), packed, strict=True):
                         digest[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
@@ -165,13 +165,14 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 40,
     rows: int = 5,
-    likely: float = 0.7,
+    size: int = 400,
+    likely: float = 0.735,
     stars: int = 2,
 ) -> DataFrame:
     """(key, n_shingles, component_id, kept), a row for each row of docs; component_id is the least key that
     links reach, and kept says that it is the row's own. Keys are integers."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = written(sketches(texts, "doc_id", "text", width, bands, rows), "sketches")
+    table = written(sketches(texts, "doc_id", "text", width, bands, rows, size), "sketches")
     full = table.where("digest is not null and doc_id is not null")
     copies = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = written(
@@ -188,7 +189,7 @@ def near_duplicates(
     ).where("low < high")
     buckets = written(every.join(shared.select("bucket", "hubs"), "bucket"), "buckets")
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    agree = _agree(F.col("sig"), F.col("other_sig"), bands * rows, likely)
+    agree = _agree(F.col("sig"), F.col("other_sig"), size, likely)
     starred = buckets.select("node", F.explode("hubs").alias("other")).where("node <> other").distinct()
     own = nodes.select("node", "n", "sig")
     met = starred.join(own, "node").join(own.toDF("o", "m", "other_sig"), (F.col("other") == F.col("o")) & fits & agree)
