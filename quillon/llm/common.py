@@ -43,11 +43,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: How many rows go to a Python worker at once, and the setting that says so.
+ROWS_AT_ONCE, BATCH_SETTING = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once. Rows
+    with texts or sets are long, so that Python workers get few of them at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    usual = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(ROWS_AT_ONCE))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     return out
