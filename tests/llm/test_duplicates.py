@@ -78,6 +78,16 @@ def test_near_duplicates(spark, width):
         assert r.component_id == want[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id])
 
 
+def test_pairs_at_the_threshold(spark):
+    # 40 of 50 shingles in common, picked among 200,000 such pairs: their signatures agree least
+    rows = []
+    for seed in (129485, 115626, 69926, 66194, 135730, 21198, 103373, 122942):
+        words = [f"{seed}.{k}" for k in range(50)]
+        rows += [(2 * seed, " ".join(words[:45])), (2 * seed + 1, " ".join(words[:40] + words[45:]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()
+    assert len(got) == len(rows) and all(r.component_id == r.doc_id - r.doc_id % 2 for r in got)
+
+
 def test_nothing_to_compare(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(empty).count() == 0
