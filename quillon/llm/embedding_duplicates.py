@@ -3,13 +3,16 @@
 Vectors are made unit, centred and projected on principal axes, and rotations are learned that make balanced
 binary codes lose least (iterative quantisation), each from another random start, until ``bits`` bits are there.
 The codes are cut into substrings, one multi-index table each: a vector looks up its own substring and those that
-differ in one bit among the vectors of its label. Pairs found are kept when their whole codes differ in at most
-``most_apart`` bits, and are then ranked by the cosine of the original vectors in double precision. Pairs of at
-least ``threshold`` are links; none below it is.
+differ in one bit among the vectors of its label. Pairs found are kept when their whole codes differ in at most as many
+bits as pairs at the threshold do, and are then ranked by the cosine of the original vectors in double precision.
+Pairs of at least ``threshold`` are links; none below it is.
 
 The rotations are fitted on a bounded sample (``sample`` vectors of least hash); every vector is indexed and looks
-itself up. A pair at 0.93 differs in a bit with a chance of 0.12, so that one of 16 tables of 16 bits misses it
-with 0.59 and all of them with 2e-4; ``most_apart`` is six standard deviations above the expected distance.
+itself up. How far the codes of a pair at the threshold lie apart depends on the vectors: where they share a mean,
+centring widens the angle. It is measured on the fitted codes, with pairs of the sample close above the threshold and
+pairs made to lie at it; ``bits`` double up to ``most_bits`` until at most a thousandth of them meets in no table, and
+the bound of the whole codes is six standard deviations above their mean distance, and no less than ``LEAST_APART``. Where ``most_bits`` are not enough,
+all pairs of a label are ranked.
 Equal vectors of one label are one node, found by map-side combine, and count as many links as they are.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label or an id, link
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import components, release, written
 
 SUBSTRING = 16
+#: The bound of whole codes is this share of their bits at least: six deviations for vectors without a common mean.
+LEAST_APART = 62 / 256
 
 
 def rotations(unit: np.ndarray, bits: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +55,51 @@ def rotations(unit: np.ndarray, bits: int, rounds: int, seed: int) -> tuple[np.n
     return mean, np.hstack(parts)[:, :bits]
 
 
+def trial_pairs(unit: np.ndarray, threshold: float, seed: int, most: int = 4000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) at the threshold: vectors turned towards another one, and into any direction; and pairs of the
+    sample that lie up to 0.02 above it."""
+    rng = np.random.default_rng(seed)
+    x = unit[rng.integers(0, len(unit), most)]
+    out = []
+    for aim in (unit[rng.integers(0, len(unit), most)], rng.normal(size=x.shape)):
+        aim = aim - (aim * x).sum(axis=1, keepdims=True) * x
+        aim /= np.maximum(np.sqrt((aim * aim).sum(axis=1, keepdims=True)), 1e-9)
+        y = threshold * x + np.sqrt(1 - threshold**2) * aim
+        out.append((x, y / np.sqrt((y * y).sum(axis=1, keepdims=True))))
+    small, left, right = unit.astype(np.float32), [], []
+    for begin in range(0, len(unit), 500):
+        cosine = small[begin : begin + 500] @ small.T
+        i, j = np.nonzero((cosine >= threshold) & (cosine < threshold + 0.02))
+        own = i + begin < j
+        left.append(i[own][:most] + begin)
+        right.append(j[own][:most])
+    left, right = np.concatenate(left), np.concatenate(right)
+    if len(left):
+        some = rng.permutation(len(left))[:most]
+        out.append((unit[left[some]], unit[right[some]]))
+    return out
+
+
+def fitted(unit: np.ndarray, threshold: float, bits: int, most_bits: int, rounds: int, seed: int):
+    """(mean, projection, most_apart) of the fewest bits that suffice, or nothing where most_bits don't."""
+    trials = trial_pairs(unit, threshold, seed)
+    mean, projection = rotations(unit, bits, rounds, seed)
+    while True:
+        bounds, enough = [LEAST_APART * bits], True
+        for x, y in trials:
+            differ = ((x - mean) @ projection >= 0) != ((y - mean) @ projection >= 0)
+            apart = differ.sum(axis=1)
+            bounds.append(max(apart.mean() + 6 * apart.std(), apart.max()))
+            missed = (differ.reshape(len(x), -1, SUBSTRING).sum(axis=2) > 1).all(axis=1).sum()
+            enough = enough and missed <= 1 + len(x) // 1000
+        if enough:
+            return mean, projection, int(np.ceil(max(bounds)))
+        bits *= 2
+        if bits > most_bits:
+            return None
+        mean, projection = rotations(unit, bits, rounds, seed)
+
+
 def _units(column: pa.Array, width: int) -> np.ndarray:
     """Rows of a list column as unit vectors in double precision, padded with zeros."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -60,6 +110,42 @@ def _units(column: pa.Array, width: int) -> np.ndarray:
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
+def _near(nodes: DataFrame, width: int, mean: np.ndarray, projection: np.ndarray, most_apart: int) -> DataFrame:
+    """Pairs (a, b) that meet in a table and whose whole codes differ in at most most_apart bits."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = (_units(batch.column(2), width) - mean) @ projection >= 0
+            words = np.packbits(signs, axis=1).view(">u8").astype(np.int64)
+            parts = np.packbits(signs, axis=1).view(">u2").astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(list(words), pa.list_(pa.int64())), pa.array(list(parts), pa.list_(pa.int32()))],
+                ["node", "group", "code", "parts"],
+            )
+
+    codes = written(
+        nodes.select("node", "group", "v").mapInArrow(coded, "node long, group long, code array<long>, parts array<int>"),
+        "codes",
+    )
+    table = codes.select("node", "group", F.posexplode("parts").alias("at", "part"))
+    held = table.select(F.col("node").alias("b"), F.xxhash64("group", "at", "part").alias("cell"))
+    masks = F.array(*[F.lit(m) for m in [0, *(1 << k for k in range(SUBSTRING))]])
+    asked = table.withColumn("mask", F.explode(masks)).select(
+        F.col("node").alias("a"), F.xxhash64("group", "at", F.col("part").bitwiseXOR(F.col("mask"))).alias("cell")
+    )
+    pairs = asked.join(held, "cell").where("a < b").select("a", "b").distinct()
+    code = codes.select("node", "code")
+    apart = sum(
+        (F.bit_count(F.get("ca", F.lit(k)).bitwiseXOR(F.get("cb", F.lit(k)))) for k in range(projection.shape[1] // 64)), F.lit(0)
+    )
+    near = written(
+        pairs.join(code.toDF("a", "ca"), "a").join(code.toDF("b", "cb"), "b").where(apart <= most_apart).select("a", "b"),
+        "pairs",
+    )
+    release(codes)
+    return near
+
+
 def linked_vectors(
     vectors: DataFrame,
     key: str = "vec_id",
@@ -67,7 +153,7 @@ def linked_vectors(
     label: str = "label",
     threshold: float = 0.93,
     bits: int = 256,
-    most_apart: int = 62,
+    most_bits: int = 4096,
     sample: int = 10_000,
     rounds: int = 30,
     seed: int = 5,
@@ -96,37 +182,7 @@ def linked_vectors(
     if width is None:
         return rows.select(F.col("id").alias(key), zero.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     picked = nodes.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toArrow()
-    mean, projection = rotations(_units(picked.column(0).combine_chunks(), width), bits, rounds, seed)
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signs = (_units(batch.column(2), width) - mean) @ projection >= 0
-            words = np.packbits(signs, axis=1).view(">u8").astype(np.int64)
-            parts = np.packbits(signs, axis=1).view(">u2").astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(words), pa.list_(pa.int64())), pa.array(list(parts), pa.list_(pa.int32()))],
-                ["node", "group", "code", "parts"],
-            )
-
-    codes = written(
-        nodes.select("node", "group", "v").mapInArrow(coded, "node long, group long, code array<long>, parts array<int>"),
-        "codes",
-    )
-    table = codes.select("node", "group", F.posexplode("parts").alias("at", "part"))
-    held = table.select(F.col("node").alias("b"), F.xxhash64("group", "at", "part").alias("cell"))
-    masks = F.array(*[F.lit(m) for m in [0, *(1 << k for k in range(SUBSTRING))]])
-    asked = table.withColumn("mask", F.explode(masks)).select(
-        F.col("node").alias("a"), F.xxhash64("group", "at", F.col("part").bitwiseXOR(F.col("mask"))).alias("cell")
-    )
-    pairs = asked.join(held, "cell").where("a < b").select("a", "b").distinct()
-    code = codes.select("node", "code")
-    apart = sum(
-        (F.bit_count(F.get("ca", F.lit(k)).bitwiseXOR(F.get("cb", F.lit(k)))) for k in range(bits // 64)), F.lit(0)
-    )
-    near = written(
-        pairs.join(code.toDF("a", "ca"), "a").join(code.toDF("b", "cb"), "b").where(apart <= most_apart).select("a", "b"),
-        "pairs",
-    )
+    found = fitted(_units(picked.column(0).combine_chunks(), width), threshold, bits, most_bits, rounds, seed)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,13 +190,16 @@ def linked_vectors(
             keep = pa.array(cosine >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
-    own = nodes.select("node", "v")
-    links = written(
-        near.join(own.toDF("a", "va"), "a").join(own.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
-        .mapInArrow(ranked, "a long, b long"),
-        "links",
-    )
-    release(near, codes)
+    if found:
+        own = nodes.select("node", "v")
+        near = _near(nodes, width, *found)
+        both = near.join(own.toDF("a", "va"), "a").join(own.toDF("b", "vb"), "b")
+    else:
+        own = nodes.select("node", "group", "v")
+        both = own.toDF("a", "group", "va").join(own.toDF("b", "group", "vb"), "group").where("a < b")
+    links = written(both.select("a", "b", "va", "vb").mapInArrow(ranked, "a long, b long"), "links")
+    if found:
+        release(near)
     copies = nodes.select("node", "copies")
     both = links.union(links.select("b", "a")).toDF("node", "other")
     counts = both.join(copies.toDF("other", "more"), "other").groupBy("node").agg(F.sum("more").alias("more"))

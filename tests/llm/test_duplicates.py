@@ -122,6 +122,25 @@ def test_linked_vectors(spark):
     assert {r.vec_id: r.n_links for r in got}[1005] == 2
 
 
+@pytest.mark.parametrize("norm", [0.02, 0.8, 0.87, 0.92])
+def test_linked_vectors_with_a_common_mean(spark, norm):
+    rng = np.random.default_rng(11)
+
+    def units(x):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    own = units(units(rng.normal(size=(400, 64))) * np.sqrt(1 - norm**2) + np.eye(64)[0] * norm)
+    aside = rng.normal(size=own.shape)
+    aside = units(aside - (aside * own).sum(axis=1, keepdims=True) * own)
+    cosine = rng.uniform(0.92, 0.96, (400, 1))
+    every = units(np.vstack([own, cosine * own + np.sqrt(1 - cosine**2) * aside]))
+    want = (every @ every.T >= 0.93).sum(axis=1) - 1
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(every)]
+    got = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all(r.n_links <= want[r.vec_id] for r in got)
+    assert sum(r.n_links for r in got) >= 0.998 * want.sum() > 0
+
+
 def cut_by_hand(rows):
     seen, out = set(), {}
     for key, text in sorted(rows, key=lambda r: r[0]):
