@@ -18,8 +18,8 @@ read again from the texts that pairs name. Components are found by alternating s
 written to the shared folder.
 
 A null, empty or blank text is an empty set, linked with nothing. A text of fewer words than a shingle is one
-shingle of them all. Rows of one key are one document with all their links; a row without a key is its own
-document, kept, without a component. Other columns are not read; an empty table gives no rows.
+shingle of them all. Rows of one key are one document with all their links, also where their texts differ; a row
+without a key is its own document, kept, without a component. Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -121,7 +121,7 @@ def _agree(x: Column, y: Column, size: int, share: float) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are as similar as asked."""
+    """Pairs (a, b) of which a whole set of each are as similar as asked."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +129,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, end in in_portions(texts, 1_000_000):
                 sets = [s.tobytes() for s in shingle_sets(texts[begin:end], width)]
+                digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), pa.array(sets, pa.binary())], ["doc_id", "s"]
+                    [batch.column(0).slice(begin, end - begin), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())],
+                    ["doc_id", "digest", "s"],
                 )
 
     sets = written(
-        only_keys(texts, ids).mapInArrow(shingled, "doc_id long, s binary").dropDuplicates(["doc_id"]), "sets"
+        only_keys(texts, ids).mapInArrow(shingled, "doc_id long, digest binary, s binary").where("s <> x''")
+        .dropDuplicates(["doc_id", "digest"]).select("doc_id", "s"),
+        "sets",
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +183,20 @@ def near_duplicates(
     copies = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = written(
         full.join(copies.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node")))
-        .dropDuplicates(["node"]).select("node", "n", "bands", "sig"),
+        .dropDuplicates(["node", "digest"]).select("node", "n", "bands", "sig"),
         "nodes",
     )
+    # keys with different texts: linked with the nodes of each; a node may have several sets
+    texted = table.where("doc_id is not null").select("doc_id", F.coalesce("digest", F.lit(b"")).alias("digest"))
+    several = written(
+        texted.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high"),
+        "several",
+    ).toDF("id", "low", "high")
+    kin = written(
+        full.join(several, F.col("doc_id") == F.col("id")).select("doc_id", "digest").join(copies, "digest")
+        .select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(),
+        "kin",
+    )
     every = nodes.select("node", F.posexplode("bands").alias("at", "band")).select(
         F.xxhash64("at", "band").alias("bucket"), "at", "node"
     )
@@ -195,7 +210,7 @@ def near_duplicates(
     starred = buckets.select("node", F.explode("hubs").alias("other")).where("node <> other").distinct()
     own = nodes.select("node", "n", "sig")
     met = starred.join(own, "node").join(own.toDF("o", "m", "other_sig"), (F.col("other") == F.col("o")) & fits & agree)
-    links = _verified(_ordered(met), texts, width, percent)
+    links = _verified(_ordered(met), texts, width, percent).union(kin)
     roots = components(links)
     known = buckets.join(roots, "node", "left").select("bucket", "at", "node", F.coalesce("root", "node").alias("root"))
     mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
@@ -213,7 +228,11 @@ def near_duplicates(
     known = copies.select(F.col("digest").alias("d"), "node").join(roots, "node", "left")
     known = known.select("d", F.coalesce("root", "node").alias("component"))
     release(buckets)
-    return table.join(known, F.col("digest") == F.col("d"), "left").select(
+    bare = table.where("digest is null").join(several, F.col("doc_id") == F.col("id"), "left")
+    rows_of = table.where("digest is not null").select("doc_id", "n", "digest").union(
+        bare.select("doc_id", "n", F.col("high").alias("digest"))
+    )
+    return rows_of.join(known, F.col("digest") == F.col("d"), "left").select(
         F.col("doc_id").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),

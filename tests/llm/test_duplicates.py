@@ -88,6 +88,20 @@ def test_pairs_at_the_threshold(spark):
     assert len(got) == len(rows) and all(r.component_id == r.doc_id - r.doc_id % 2 for r in got)
 
 
+def test_keys_with_two_texts(spark):
+    rnd = random.Random(8)
+    own = [[f"{k}.{rnd.randrange(10**6)}" for _ in range(60)] for k in range(40)]
+    near = [" ".join([*w[:30], "x", *w[31:]]) for w in own]
+    rows = []
+    for k in range(0, 40, 2):  # one key has two texts, whose near copies have keys of their own
+        rows += [(10 * k + 5, " ".join(own[k])), (10 * k + 5, " ".join(own[k + 1])), (10 * k + 5, ["", None][k % 4 // 2])]
+        rows += [(10 * k + 6, near[k]), (10 * k + 3, near[k + 1]), (10 * k + 7, " ".join(own[k + 1]))]
+    rnd.shuffle(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == r.doc_id - r.doc_id % 10 + 3 and r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_nothing_to_compare(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(empty).count() == 0
