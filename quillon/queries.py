@@ -276,17 +276,17 @@ def join_report(c: Catalog) -> DataFrame:
 
 @query()
 def gen_users(c: Catalog) -> DataFrame:
-    return generated.users(c.spark, 10_000)
+    return generated.users(c.spark, 5_000_000)
 
 
 @query()
 def gen_orders(c: Catalog) -> DataFrame:
-    return generated.orders(c.spark, 40_000, 10_000)
+    return generated.orders(c.spark, 20_000_000, 5_000_000)
 
 
 @query()
 def gen_skewed_orders(c: Catalog) -> DataFrame:
-    return generated.skewed_orders(c.spark, 40_000, 10_000)
+    return generated.skewed_orders(c.spark, 20_000_000, 5_000_000)
 
 
 # the flagship

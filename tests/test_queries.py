@@ -42,3 +42,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_generated_sizes(spark):
+    sizes = {"gen_users": 5_000_000, "gen_orders": 20_000_000, "gen_skewed_orders": 20_000_000}
+    assert {name: QUERIES[name](spark, SF).count() for name in sizes} == sizes
+    # 5,000,000 users, 5 % of them with half of the orders
+    made = QUERIES["gen_orders"](spark, SF).selectExpr("max(user_id) as top", "avg(int(user_id <= 250000)) as heavy").first()
+    assert 4_990_000 < made.top <= 5_000_000 and abs(made.heavy - 0.5) < 0.01
