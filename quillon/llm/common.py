@@ -19,6 +19,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 def ship(spark: SparkSession) -> None:
     """Gives the workers this package through Spark's file server where their path doesn't already hold it."""
+    few_rows_at_once(spark)
     root = Path(__file__).resolve().parents[2]
     known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     if str(root) in known or getattr(spark.sparkContext, "_quillon_shipped", False):
@@ -43,21 +44,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-#: How many rows go to a Python worker at once, and the setting that says so.
-ROWS_AT_ONCE, BATCH_SETTING = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: How many rows go to a Python worker at once: rows with texts or sets are long. Set for the session where it still
+#: has Spark's default, and left so, since the last stage of a query runs when its caller asks.
+BATCH_SETTING, SPARKS_DEFAULT, ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "200"
+
+
+def few_rows_at_once(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING) == SPARKS_DEFAULT:
+        spark.conf.set(BATCH_SETTING, ROWS_AT_ONCE)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once. Rows
-    with texts or sets are long, so that Python workers get few of them at once."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
+    few_rows_at_once(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    usual = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(ROWS_AT_ONCE))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_SETTING, usual)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     return out

@@ -5,15 +5,16 @@ first scatters a mark, the second is shifted circularly by one more step for eac
 is kept. ``rows`` coordinates make a band; texts that share a band are candidates, and two texts are linked when
 their whole sets have a Jaccard similarity of at least ``percent`` hundredths, counted exactly.
 
-With 40 bands of 5 rows a pair at 0.8 shares no band with a chance of 1e-7; pairs whose ``size`` coordinates, of which
-four bits are kept, agree in less than ``likely`` never leave the join. Circulant coordinates depend on each other, more
-so for small sets, so the share was simulated: of 840,000 random pairs at exactly 0.8, of sets of 4 to 180, none agreed
-in less than 0.69, 1 in less than 0.70, 77 in less than 0.735 (these had been dropped before).
+With 40 bands of 5 rows a pair at 0.8 shares no band with a chance of 1e-7. A pair leaves the joins unless its odd
+sketches prove it to lie below the threshold: a set's sketch has a bit for each of ``sketch`` cells, whether an odd
+number of shingles falls there, and where two sketches differ the sets differ by one shingle at least. Sets of n and m
+shingles that reach the threshold differ in at most (n + m) * (100 - percent) / (100 + percent), so that no link is
+lost by this; sets of up to some thousand shingles are told apart sharply, larger ones are verified.
 
 Copies (equal sets) are one node, found by a digest of the set with map-side combine. A band's texts are never
 paired with each other at once: first each is compared with ``stars`` texts of its band only (that of the least
 key, and others by hash), and links join them into components; after that only texts of one band that lie in
-different components and whose sizes allow the similarity are compared. Verified pairs carry 8 bytes a shingle,
+different components are compared, those outside a band's most common component with all others of the band. Verified pairs carry 8 bytes a shingle,
 read again from the texts that pairs name. Components are found by alternating star steps. All steps are
 written to the shared folder.
 
@@ -70,10 +71,20 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out.T
 
 
-def sketches(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int, size: int) -> DataFrame:
-    """(doc_id, n, digest, bands, sig) for each row; digest and what follows are null for empty sets. sig holds
-    four bits of each coordinate, sixteen coordinates in a number."""
-    wide = -(-size // 16) * 16
+def odd_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of bits / 64 numbers for each set: for each cell whether an odd number of shingles falls into it."""
+    out = []
+    for begin in range(0, len(sets), 128):
+        some = sets[begin : begin + 128]
+        cell = (np.concatenate(some) & np.uint64(bits - 1)).astype(np.int64)
+        cell += np.repeat(np.arange(len(some), dtype=np.int64) * bits, [len(s) for s in some])
+        odd = (np.bincount(cell, minlength=len(some) * bits) & 1).astype(np.uint8).reshape(len(some), bits)
+        out.append(np.packbits(odd, axis=1).view(np.int64))
+    return np.concatenate(out)
+
+
+def sketches(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int, sketch: int) -> DataFrame:
+    """(doc_id, n, digest, bands, odd) for each row; digest and what follows are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,47 +92,42 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, bands: int, rows:
             for begin, end in in_portions(texts, 1_000_000):
                 sets = shingle_sets(texts[begin:end], width)
                 full = [k for k, s in enumerate(sets) if len(s)]
-                digest, band, sig = ([None] * len(sets) for _ in range(3))
+                digest, band, odd = ([None] * len(sets) for _ in range(3))
                 if full:
-                    made = np.ascontiguousarray(signatures([sets[k] for k in full], size))
-                    cells = made[:, : bands * rows].reshape(len(full), bands, rows).astype(np.uint64)
+                    own = [sets[k] for k in full]
+                    cells = np.ascontiguousarray(signatures(own, bands * rows)).reshape(len(full), bands, rows).astype(np.uint64)
                     mark = np.zeros((len(full), bands), np.uint64)
                     for r in range(rows):
                         mark = (mark ^ cells[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
                         mark ^= mark >> np.uint64(32)
-                    small = np.zeros((len(full), wide), np.uint8)
-                    small[:, :size] = made & np.uint32(15)
-                    packed = (small[:, ::2] | (small[:, 1::2] << 4)).view(np.int64)
-                    for k, m, s in zip(full, (mark >> np.uint64(32)).astype(np.int32), packed, strict=True):
+                    for k, m, o in zip(full, (mark >> np.uint64(32)).astype(np.int32), odd_sketches(own, sketch), strict=True):
                         digest[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
-                        band[k], sig[k] = m, s
+                        band[k], odd[k] = m, o
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(begin, end - begin), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int32())),
-                        pa.array(sig, pa.list_(pa.int64())),
+                        pa.array(odd, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "digest", "bands", "sig"],
+                    ["doc_id", "n", "digest", "bands", "odd"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, digest binary, bands array<int>, sig array<long>"
+    schema = f"doc_id {kind}, n long, digest binary, bands array<int>, odd array<long>"
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
-def _agree(x: Column, y: Column, size: int, share: float) -> Column:
-    """Whether two packed signatures agree in at least this share of their coordinates."""
+def _may_link(sketch: int, percent: int) -> Column:
+    """Whether sizes n, m and sketches odd, other_odd leave it open that two sets are as similar as asked."""
     differing = F.lit(0)
-    for k in range(-(-size // 16)):
-        z = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        differing = differing + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
-    return differing <= int((1 - share) * size)
+    for k in range(sketch // 64):
+        differing = differing + F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("other_odd", F.lit(k))))
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    return fits & (differing * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of which a whole set of each are as similar as asked."""
+    """Pairs (a, b) of which a whole set of each are as similar as asked; the table of pairs is given up."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +159,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     out = written(both.mapInArrow(compare, "a long, b long"), "links")
-    release(sets)
+    release(sets, pairs)
     return out
 
 
@@ -171,19 +177,18 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 40,
     rows: int = 5,
-    size: int = 400,
-    likely: float = 0.66,
+    sketch: int = 2048,
     stars: int = 2,
 ) -> DataFrame:
     """(key, n_shingles, component_id, kept), a row for each row of docs; component_id is the least key that
     links reach, and kept says that it is the row's own. Keys are integers."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = written(sketches(texts, "doc_id", "text", width, bands, rows, size), "sketches")
+    table = written(sketches(texts, "doc_id", "text", width, bands, rows, sketch), "sketches")
     full = table.where("digest is not null and doc_id is not null")
     copies = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = written(
         full.join(copies.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node")))
-        .dropDuplicates(["node", "digest"]).select("node", "n", "bands", "sig"),
+        .dropDuplicates(["node", "digest"]).select("node", "n", "bands", "odd"),
         "nodes",
     )
     # keys with different texts: linked with the nodes of each; a node may have several sets
@@ -205,34 +210,42 @@ def near_duplicates(
         F.array(*hubs).alias("hubs"), F.min("node").alias("low"), F.max("node").alias("high")
     ).where("low < high")
     buckets = written(every.join(shared.select("bucket", "hubs"), "bucket"), "buckets")
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    agree = _agree(F.col("sig"), F.col("other_sig"), size, likely)
+    may = _may_link(sketch, percent)
     starred = buckets.select("node", F.explode("hubs").alias("other")).where("node <> other").distinct()
-    own = nodes.select("node", "n", "sig")
-    met = starred.join(own, "node").join(own.toDF("o", "m", "other_sig"), (F.col("other") == F.col("o")) & fits & agree)
-    links = _verified(_ordered(met), texts, width, percent).union(kin)
+    own = nodes.select("node", "n", "odd")
+    met = starred.join(own, "node").join(own.toDF("o", "m", "other_odd"), (F.col("other") == F.col("o")) & may)
+    near = _verified(_ordered(met), texts, width, percent)
+    links = near.union(kin)
     roots = components(links)
-    known = buckets.join(roots, "node", "left").select("bucket", "at", "node", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rest = written(known.join(mixed.select("bucket"), "bucket").join(nodes, "node"), "mixed")
-    other = rest.select(
+    known = written(
+        buckets.join(roots, "node", "left").select("bucket", "at", "node", F.coalesce("root", "node").alias("root")),
+        "known",
+    )
+    lead = (
+        known.groupBy("bucket", "root").agg(F.count("*").alias("held"))
+        .groupBy("bucket").agg(F.max_by("root", F.struct("held", "root")).alias("lead"), F.count("*").alias("different"))
+        .where("different > 1").drop("different")
+    )
+    rest = written(known.join(lead, "bucket").join(nodes, "node"), "mixed")
+    other = rest.where("root <> lead").select(
         F.col("bucket").alias("b"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"),
-        F.col("sig").alias("other_sig"), F.col("bands").alias("other_bands"),
+        F.col("odd").alias("other_odd"), F.col("bands").alias("other_bands"),
     )
     # a pair is compared in the first of the bands that it shares
     first = F.array_position(F.zip_with("bands", "other_bands", lambda x, y: x == y), True) == F.col("at") + 1
-    met = rest.join(other, (F.col("bucket") == F.col("b")) & (F.col("root") < F.col("other_root")) & fits & agree & first)
+    apart = (F.col("root") < F.col("other_root")) | ((F.col("root") == F.col("lead")) & (F.col("root") != F.col("other_root")))
+    met = rest.join(other, (F.col("bucket") == F.col("b")) & apart & may & first)
     more = _verified(_ordered(met), texts, width, percent)
     if not more.isEmpty():
         roots = components(links.union(more))
-    known = copies.select(F.col("digest").alias("d"), "node").join(roots, "node", "left")
-    known = known.select("d", F.coalesce("root", "node").alias("component"))
-    release(buckets)
+    grouped = copies.select(F.col("digest").alias("d"), "node").join(roots, "node", "left")
+    grouped = grouped.select("d", F.coalesce("root", "node").alias("component"))
+    release(nodes, kin, near, more, buckets, known, rest)
     bare = table.where("digest is null").join(several, F.col("doc_id") == F.col("id"), "left")
     rows_of = table.where("digest is not null").select("doc_id", "n", "digest").union(
         bare.select("doc_id", "n", F.col("high").alias("digest"))
     )
-    return rows_of.join(known, F.col("digest") == F.col("d"), "left").select(
+    return rows_of.join(grouped, F.col("digest") == F.col("d"), "left").select(
         F.col("doc_id").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),

@@ -1,7 +1,12 @@
-"""Sets of word shingles as sorted arrays of 64-bit marks, for whole texts, by flat numpy arrays."""
+"""Sets of word shingles as sorted arrays of 64-bit marks, for whole texts, by flat numpy arrays.
+
+A word's mark mixes its bytes eight at a time, each step a permutation of 64 bits, so that words of up to eight bytes
+never share one by their form, nor do longer ones; of words of over 64 bytes it is 64 bits of a BLAKE2 digest."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _rng = np.random.default_rng(1234567)
@@ -11,6 +16,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 NO_SPACE = np.ones(256, bool)
 NO_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+#: The bytes of a lane that belong to a word with so many bytes left.
+INSIDE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONGEST = 64
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -28,18 +36,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def word_marks(flat: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The marks of words that lie at begins to ends in flat bytes, which go on for 8 bytes behind the last."""
+    sizes = ends - begins
+    lanes = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))
+    mark = mixed((lanes[begins] & INSIDE[np.minimum(sizes, 8)]) + BASE)
+    for at in range(8, LONGEST, 8):
+        some = np.flatnonzero(sizes > at)
+        if not len(some):
+            break
+        lane = lanes[begins[some] + at] & INSIDE[np.minimum(sizes[some] - at, 8)]
+        mark[some] = mixed((mark[some] ^ mixed(lane + INVERSE)) * BASE)
+    mark = mixed(mark + sizes.astype(np.uint64) * INVERSE)
+    for k in np.flatnonzero(sizes > LONGEST):
+        digest = hashlib.blake2b(flat[begins[k] : ends[k]].tobytes(), digest_size=8).digest()
+        mark[k] = np.frombuffer(digest, "<u8")[0]
+    return mark
+
+
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """The distinct shingles of ``width`` words of each text (letters A-Z in lower case), sorted. A text of fewer
     words is one shingle of all of them; a text without words is an empty set."""
     raw = [t.encode().lower() for t in texts]  # bytes.lower() changes A-Z only
     sizes = np.array([len(r) + 1 for r in raw])
-    flat = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8) if raw else np.empty(0, np.uint8)
+    flat = np.frombuffer(b"\n".join([*raw, b" " * 8]), np.uint8)
     solid = NO_SPACE[flat]
     begins = np.flatnonzero(solid & ~np.r_[False, solid[:-1]])
     ends = np.flatnonzero(solid & ~np.r_[solid[1:], False]) + 1
-    power, inverse = _power_tables(len(flat) + 1)
-    upto = np.r_[np.uint64(0), np.cumsum(BYTES[flat] * power[: len(flat)], dtype=np.uint64)]
-    word = mixed((upto[ends] - upto[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
+    word = word_marks(flat, begins, ends)
     first = np.searchsorted(begins, np.r_[0, np.cumsum(sizes)])
     out = []
     joined = word

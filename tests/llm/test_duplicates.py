@@ -1,6 +1,7 @@
 """Near duplicates, linked vectors and repeated strings against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from quillon.llm import repeats
 from quillon.llm.common import components, split_by_keys, without_keys
 from quillon.llm.embedding_duplicates import linked_vectors
-from quillon.llm.near_duplicates import near_duplicates
+from quillon.llm.near_duplicates import near_duplicates, odd_sketches
 from quillon.llm.repeats import cut_repeats, without_repeats
 from quillon.llm.shingles import shingle_sets
 
@@ -46,6 +47,37 @@ def test_keys_filter(spark):
     assert left == {k for k in range(200) if k % 5 == 0 or k % 3}
 
 
+def shingles(text, width):
+    own = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\\x20\\x09-\\x0D]+", own)
+    return {tuple(words[k : k + width]) for k in range(max(len(words) - width + 1, min(len(words), 1)))}
+
+
+def test_marks_of_words():
+    one, other = "a", "b"
+    for _ in range(10):  # a word and its complement, which agree in any polynomial modulo a power of two
+        one, other = one + other, other + one
+    texts = [f"{one} tail {other} tail", f"{one} tail", f"{other} tail", "a\0 b", "a b", "a\0\0 b", "\x1c \x85 b", "É é", ""]
+    rnd = random.Random(4)
+    texts += [" ".join("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 70))) for _ in range(300)) for _ in range(40)]
+    for width in (1, 2, 3):
+        got = shingle_sets(texts, width)
+        assert [len(s) for s in got] == [len(shingles(t, width)) for t in texts]
+        assert len(set(np.concatenate(got).tolist())) == len(set().union(*(shingles(t, width) for t in texts)))
+        assert [s.tolist() for s in got] == [shingle_sets([t], width)[0].tolist() for t in texts]
+    assert shingle_sets([], 2) == []
+
+
+def test_no_pair_at_the_threshold_is_told_apart():
+    rng = np.random.default_rng(2)
+    for size in (9, 45, 450, 4500):  # pairs at exactly 0.8
+        for _ in range(200 if size < 1000 else 20):
+            marks = rng.integers(0, 1 << 63, size * 10 // 9, np.uint64) * np.uint64(2)
+            x, y = np.sort(marks[:size]), np.sort(np.r_[marks[: size * 8 // 9], marks[size:]])
+            a, b = odd_sketches([x, y], 2048)
+            assert 180 * sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= 20 * (len(x) + len(y))
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(spark, width):
     rnd = random.Random(width)
@@ -61,7 +93,7 @@ def test_near_duplicates(spark, width):
     texts.append(" ".join(rnd.choice(vocabulary) for _ in range(20000)))
     rows = [(3 * k, t, "x") for k, t in enumerate(texts)]
     rows += rows[10:12]  # repeated rows
-    sets = {k: set(s.tolist()) for (k, _, _), s in zip(rows, shingle_sets([t or "" for _, t, _ in rows], width), strict=True)}
+    sets = {k: shingles(t, width) for k, t, _ in rows}
     ids = sorted(sets)
     links = [
         (a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]
