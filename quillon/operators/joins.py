@@ -31,7 +31,9 @@ def join(
     auto: the optimizer chooses. broadcast: build is sent to every executor if it is estimated at no more than
     ``broadcast_limit`` bytes, else the join is a merge. shuffle_hash: both sides are dealt by key and the build
     side hashed. merge: both sides are dealt and sorted, and spill. partitioned: as merge, with n partitions.
-    salted: a key's probe rows go to n places by a hash of the row, with a copy of the build rows in each."""
+    salted: probe rows of hot keys, those with over an n-th of the probe rows, are dealt in turn to n places, with a
+    copy of the key's build rows in each; other keys are not touched. Counting the keys is a job of its own, and of
+    hot keys there are fewer than n."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy {strategy!r} is none of {', '.join(STRATEGIES)}")
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -54,9 +56,28 @@ def join(
         left, right = left.repartition(n, probe_key), right.repartition(n, key).hint("merge")
         on = left[probe_key].eqNullSafe(right[key]) if null_safe else left[probe_key] == right[key]
     elif strategy == "salted":
-        left = left.withColumn("__salt", F.pmod(F.xxhash64(*probe.columns), F.lit(n)))
-        right = right.withColumn("__salt_build", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+        left, right = salted(left, right, probe_key, key, n, null_safe)
         on = left[probe_key].eqNullSafe(right[key]) if null_safe else left[probe_key] == right[key]
         on = on & (left["__salt"] == right["__salt_build"])
     joined = left.join(right, on, how)
     return joined.select(*probe.columns, *(names if how in ("inner", "left") else []))
+
+
+def hot_keys(rows: DataFrame, key: str, n: int) -> list:
+    """Values of a key, null left out, that more than an n-th of the rows have: fewer than n."""
+    counts = rows.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c").alias("total"))
+    return [r["k"] for r in counts.join(F.broadcast(total), F.col("c") * n > F.col("total")).where("k is not null").collect()]
+
+
+def salted(
+    probe: DataFrame, build: DataFrame, probe_key: str, build_key: str, n: int, null_safe: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: 0, but for hot keys, whose probe rows get 0 to n - 1 in turn and whose build rows are
+    there n times. Probe rows without a key, which find nothing, are dealt in turn, too."""
+    hot = hot_keys(probe, probe_key, n)
+    turn, zero = F.pmod(F.monotonically_increasing_id(), F.lit(n)), F.lit(0).cast("long")
+    is_hot = lambda c: F.coalesce(F.col(c).isin(hot), F.lit(False)) if hot else F.lit(False)
+    dealt = is_hot(probe_key) if null_safe else is_hot(probe_key) | F.col(probe_key).isNull()
+    copies = F.when(is_hot(build_key), F.sequence(zero, F.lit(n - 1).cast("long"))).otherwise(F.array(zero))
+    return probe.withColumn("__salt", F.when(dealt, turn).otherwise(zero)), build.withColumn("__salt_build", F.explode(copies))

@@ -14,7 +14,7 @@ from .operators.summaries import above, group_summary, project, summarize
 from .plans.report import metrics
 from .sources import generated
 from .sources.catalog import Catalog
-from .sources.parquet import layout, scan, skipping
+from .sources.parquet import bounds, layout, scan, skipping
 from .streaming.windows import tumbling_counts
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -255,6 +255,19 @@ def parquet_layout(c: Catalog) -> DataFrame:
     return layout(c.spark, c.path("lineitem"))
 
 
+@query(
+    " union all ".join(
+        f"select '{c}' as \"column\", count(*) as n_rows, count(*) - count({c}) as nulls, cast(min({c}) as varchar) as least, "
+        f"cast(max({c}) as varchar) as greatest from lineitem"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
+    )
+)
+def parquet_bounds(c: Catalog) -> DataFrame:
+    """What the footers say of the columns that SQL writes as text as Spark does."""
+    rows = bounds(c.spark, c.path("lineitem"))
+    return rows.where("column not in ('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax')")
+
+
 @query()
 def scan_report(c: Catalog) -> DataFrame:
     """Row groups that bounds on a column in file order and on one in no order read and skip."""
@@ -289,6 +302,88 @@ def gen_skewed_orders(c: Catalog) -> DataFrame:
     return generated.skewed_orders(c.spark, 20_000_000, 5_000_000)
 
 
+# what the generators promise, exactly or to the hundredth
+
+
+@query(
+    "select 5000000::bigint as n, 1::bigint as low, 5000000::bigint as high, 18 as youngest, 80 as oldest, "
+    "10::bigint as cities, 0.1::double as least_city, 0::bigint as wrong_names"
+)
+def gen_users_facts(c: Catalog) -> DataFrame:
+    cities = generated.users(c.spark, 5_000_000).groupBy("city").agg(
+        F.count("*").alias("own"), F.min("id").alias("low"), F.max("id").alias("high"),
+        F.min("age").alias("young"), F.max("age").alias("old"),
+        F.sum((F.col("name") != F.concat(F.lit("user_"), F.col("id").cast("string"))).cast("long")).alias("wrong"),
+    )
+    return cities.agg(
+        F.sum("own").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min("young").cast("int").alias("youngest"), F.max("old").cast("int").alias("oldest"),
+        F.count("*").alias("cities"), F.round(F.min("own") / F.sum("own"), 2).alias("least_city"),
+        F.sum("wrong").alias("wrong_names"),
+    )
+
+
+@query(
+    "select * from (values ('paid', 0.70::double), ('pending', 0.15::double), ('cancelled', 0.10::double), "
+    "('refunded', 0.05::double)) s(status, share) cross join (select 20000000::bigint as n, 1::bigint as low, "
+    "20000000::bigint as high, 0.5::double as heavy, 10.0::double as least, 5000.0::double as most)"
+)
+def gen_orders_facts(c: Catalog) -> DataFrame:
+    per = generated.orders(c.spark, 20_000_000, 5_000_000).groupBy("status").agg(
+        F.count("*").alias("own"), F.min("order_id").alias("low"), F.max("order_id").alias("high"),
+        F.sum((F.col("user_id") <= 250_000).cast("long")).alias("few"),
+        F.min("amount").alias("least"), F.max("amount").alias("most"),
+    )
+    whole = per.agg(
+        F.sum("own").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.round(F.sum("few") / F.sum("own"), 2).alias("heavy"),
+        F.round(F.min("least"), 0).alias("least"), F.round(F.max("most"), 0).alias("most"),
+    )
+    return per.select("status", "own").join(F.broadcast(whole)).select(
+        "status", F.round(F.col("own") / F.col("n"), 2).alias("share"), "n", "low", "high", "heavy", "least", "most"
+    )
+
+
+@query(
+    "select 20000000::bigint as n, 1::bigint as low, 20000000::bigint as high, 0.4::double as hot, 0::bigint as outside, "
+    "7::bigint as hot_user"
+)
+def gen_skewed_orders_facts(c: Catalog) -> DataFrame:
+    rows = generated.skewed_orders(c.spark, 20_000_000, 5_000_000)
+    per = rows.groupBy("user_id").agg(
+        F.count("*").alias("own"), F.min("order_id").alias("low"), F.max("order_id").alias("high")
+    )
+    return per.agg(
+        F.sum("own").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.round(F.max("own") / F.sum("own"), 2).alias("hot"),
+        F.sum((~F.col("user_id").between(1, 5_000_000)).cast("long")).alias("outside"),
+        F.max_by("user_id", "own").alias("hot_user"),
+    )
+
+
+@query(
+    "select 'scan of orders' as what, count(*) as n from orders union all select 'scan of customer', count(*) from customer "
+    "union all select 'joined', count(*) from orders join customer on o_custkey = c_custkey"
+)
+def join_counters(c: Catalog) -> DataFrame:
+    """Rows that the scans and the join of a merge join counted while it ran."""
+    counted = metrics(_orders_customers(c, "merge"))
+    made = lambda part: [own["numOutputRows"] for name, own in counted if part in name and "numOutputRows" in own]
+    sides = sorted(made("Scan"))
+    rows = [("scan of customer", sides[0]), ("scan of orders", sides[-1]), ("joined", made("SortMergeJoin")[0])]
+    return c.spark.createDataFrame(rows, "what string, n long")
+
+
+@query("select count(*) filter (where l_quantity > 49) as kept, count(*) as in_groups_read from lineitem")
+def scan_counters(c: Catalog) -> DataFrame:
+    """Rows that a filtered scan read, counted by the reader, and rows that the filter left."""
+    rows = scan(c.spark, c.path("lineitem"), ["l_orderkey"], above=("l_quantity", 49))
+    counted = metrics(rows)
+    read = next(own["numOutputRows"] for name, own in counted if "Scan" in name)
+    kept = next(own["numOutputRows"] for name, own in counted if "Filter" in name)
+    return c.spark.createDataFrame([(kept, read)], "kept long, in_groups_read long")
+
+
 # the flagship
 
 

@@ -1,16 +1,19 @@
 """Semantics that the query suite's tables don't reach: nulls, empties, duplicates, negatives, clashes."""
 
+from datetime import date, datetime
+from decimal import Decimal
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillon import Catalog, Engine
-from quillon.operators.joins import STRATEGIES, join
+from quillon.operators.joins import STRATEGIES, hot_keys, join, salted
 from quillon.operators.summaries import above, group_summary, summarize
 from quillon.plans.report import explain_text, metrics, operators, scans
 from quillon.sources.catalog import UnknownTable
 from quillon.sources.generated import orders, skewed_orders, users
-from quillon.sources.parquet import scan, skipping, write_sorted
+from quillon.sources.parquet import bounds, scan, skipping, write_sorted
 from quillon.streaming.windows import stream, tumbling_counts
 
 from .conftest import DATA
@@ -45,6 +48,28 @@ def test_sql_is_resolved_at_once(catalog):
     assert list(engine.batches("select c_name from customer where c_custkey < -1")) == []
 
 
+def test_engines_keep_to_their_catalogs(spark):
+    small, large = (Engine(Catalog.of_folder(spark, f"{DATA}/{sf}", NAMES)) for sf in ("sf0.001", "sf0.01"))
+    spark.range(3).createOrReplaceTempView("orders")
+    count = "select count(*) from customer"
+    first = small.sql(count)
+    assert [e.sql(count).first()[0] for e in (small, large, small)] == [150, 1500, 150] and first.first()[0] == 150
+    assert large.sql("select count(*) from orders").first()[0] == 15000
+    assert spark.table("orders").count() == 3 and not spark.catalog.tableExists("customer")
+    spark.catalog.dropTempView("orders")
+
+
+def test_batches_are_columns(spark, catalog):
+    engine = Engine(catalog)
+    rows = catalog.table("lineitem").repartition(5)
+    got = list(engine.batches(rows, 700))
+    assert [b.num_rows for b in got] == [700] * 8 + [400]
+    assert got[0].schema.names == rows.columns
+    odd = spark.sql("select cast(null as int) as n, array(1, null) as a, map('k', 1.5D) as m, timestamp_ntz'2024-01-02 03:04:05' as t")
+    (one,) = engine.batches(odd)
+    assert one.to_pylist()[0]["a"] == [1, None] and one.to_pylist()[0]["t"].hour == 3
+
+
 def test_scan_pushes_down(spark, catalog):
     rows = scan(spark, catalog.path("customer"), ["c_name"], above=("c_acctbal", 9000.5))
     (text,) = scans(rows)
@@ -59,6 +84,15 @@ def test_sorted_copy_skips(spark, catalog, tmp_path):
     found = skipping(spark, path, "l_orderkey", top * 0.95)
     assert found.read < 8 and found.skipped > 0 and found.read + found.skipped == 8
     assert skipping(spark, path, "l_quantity", 49).skipped == 0
+    assert skipping(spark, path, "l_returnflag", "R").skipped == 8 and skipping(spark, path, "l_returnflag", "A").skipped == 0
+    assert skipping(spark, path, "l_shipdate", datetime(2100, 1, 1)).read == 0
+    assert skipping(spark, path, "l_shipdate", datetime(1900, 1, 1)).skipped == 0
+    assert len(bounds(spark, path).collect()) == 11
+    odd = str(tmp_path / "odd")
+    spark.sql("select cast(null as string) as s, cast(id as decimal(9,2)) as d, date_add(date'2024-01-01', cast(id as int)) as t from range(5)").coalesce(1).write.parquet(odd)
+    assert skipping(spark, odd, "s", "a").skipped == 1
+    assert [skipping(spark, odd, "d", Decimal(x)).skipped for x in ("3.99", "4")] == [0, 1]
+    assert [skipping(spark, odd, "t", date(2024, 1, x)).skipped for x in (4, 5)] == [0, 1]
     with pytest.raises(AnalysisException):
         write_sorted(catalog.table("lineitem"), "l_orderkey", path, 8)
 
@@ -120,6 +154,18 @@ def test_salting_changes_nothing(spark):
     assert plain.exceptAll(salted).count() == salted.exceptAll(plain).count() == 0
 
 
+def test_only_hot_keys_are_salted(spark):
+    probe = spark.range(9000).selectExpr("if(id < 8000, 7L, id) as k", "'x' as v").repartition(3)
+    build = spark.createDataFrame([(7, "a"), (8500, "b"), (None, "c")], "k long, w string")
+    assert hot_keys(probe, "k", 8) == [7]
+    left, right = salted(probe, build, "k", "k", 8, False)
+    assert {r["__salt"]: r["count"] for r in left.where("k = 7").groupBy("__salt").count().collect()}.keys() == set(range(8))
+    assert left.where("k <> 7 and __salt <> 0").count() == 0
+    assert {r["k"]: r["count"] for r in right.groupBy("k").count().collect()} == {7: 8, 8500: 1, None: 1}
+    assert join(probe, build, "k", "k", "salted", n=8).groupBy("w").count().orderBy("w").collect() == [("a", 8000), ("b", 1)]
+    assert hot_keys(probe.where("false"), "k", 8) == []
+
+
 def test_generated_tables(spark):
     assert users(spark, 1000).agg(F.min("age"), F.max("age"), F.count("*")).first()[2] == 1000
     paid = orders(spark, 20000, 1000).groupBy("status").count().collect()
