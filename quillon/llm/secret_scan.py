@@ -9,13 +9,15 @@ endpoint (access, id or endpoint). Weak candidates that overlap a base span are
 
 All spans are code points, end exclusive. The link is an interval join within one text: the parts are sorted by
 start and swept once in each direction, each part seeing the nearest end before and the nearest start behind
-of the parts that complete it, so that no pairs are made and no row leaves its task. Null and empty texts have
-no spans; repeated rows are scanned one by one; other columns are carried through as they are.
+of the parts that complete it, so that no pairs are made and no row leaves its task. Places and sweeps are running
+sums and maxima, taken in blocks, so that a text costs time in proportion to its length and matches. Null and empty
+texts have no spans; repeated rows are scanned one by one; other columns are carried through as they are.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,78 +36,119 @@ KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 #: A blank line, which ends the scope; a kind of its own in the sweep only.
 WALL = len(KINDS)
 SPAN = "array<struct<s:int,k:int,e:int,v:int>>"
+#: Items of a block of a running fold, and characters of a part of a text.
+BLOCK, PART = 64, 1024
 
 
-def _found(text: str, pattern: str, kind: int, likely: Column, value: bool = False) -> Column:
-    """All leftmost non-overlapping matches as (start, kind, end, length of the value) in code points.
+def _running(name: str, value: Callable[[Column], Column], fold: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each item of the array column ``name`` the fold of the values up to and with it.
 
-    Each match is taken with the gap before it; the running sum of their lengths gives the places. The search
-    is tied to the end of the last match, so that a text costs one pass."""
+    Blocks are folded by themselves, then raised by the fold of all before them: appending to a list copies it,
+    so that one list of all would cost the square of the items. ``name`` has to be a column of the table, not an
+    expression, which each block would evaluate anew."""
+    size = F.size(name)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")), lambda i: F.slice(name, i * BLOCK + 1, BLOCK))
+
+    def within(block: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.filter(F.array(zero), lambda _: F.lit(False)).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            now = fold(acc["at"], value(x))
+            return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        return F.aggregate(block, start, step)
+
+    def behind(acc: Column, block: Column) -> Column:
+        raised = F.struct(acc["at"].alias("by"), block["out"].alias("own"))
+        return F.struct(fold(acc["at"], block["at"]).alias("at"), F.concat(acc["out"], F.array(raised)).alias("out"))
+
+    none = F.struct(zero.alias("by"), F.array(zero).alias("own"))
+    start = F.struct(zero.alias("at"), F.filter(F.array(none), lambda _: F.lit(False)).alias("out"))
+    raised = F.aggregate(F.transform(blocks, within), start, behind, lambda acc: acc["out"])
+    folded = F.flatten(F.transform(raised, lambda r: F.transform(r["own"], lambda x: fold(r["by"], x))))
+    return F.when(size > 0, folded).otherwise(F.filter(F.array(zero), lambda _: F.lit(False)))
+
+
+def _steps(text: str, pattern: str, likely: Column, value: bool = False) -> Column:
+    """All leftmost non-overlapping matches as (length of the gap before, of the match, of its value).
+
+    The search is tied to the end of the last match, so that a text costs one pass."""
     shell = f"\\G([\\s\\S]*?)({pattern})"
     lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(shell), F.lit(group)), F.char_length)
     steps = F.arrays_zip(lengths(1).alias("g"), lengths(2).alias("w"), lengths(3 if value else 2).alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    return F.when(likely, steps).otherwise(F.array().cast("array<struct<g:int,w:int,v:int>>"))
+
+
+def _places(steps: str, kind: int) -> Column:
+    """The matches as (start, kind, end, length of the value) in code points."""
+    ends = _running(steps, lambda x: x["g"] + x["w"], lambda a, b: a + b, F.lit(0))
+
+    def span(x: Column, end: Column) -> Column:
+        return F.struct((end - x["w"]).alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["v"].alias("v"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + x["w"]
-        span = F.struct(begin.alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["v"].alias("v"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    return F.zip_with(steps, ends, span).cast(SPAN)
 
-    return F.when(likely, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
+def _free(parts: str, turned: str) -> Column:
+    """Of base and weak spans, sorted, the weak ones that overlap no base span; ``turned`` holds them from the last."""
+    far, base = F.lit(-(1 << 30)), lambda x: x["k"] < 3
+    # the last end of base spans that start before (or with) a span, and the first start of those behind it
+    ends = _running(parts, lambda x: F.when(base(x), x["e"]).otherwise(far), F.greatest, far)
+    starts = F.reverse(_running(turned, lambda x: F.when(base(x), -x["s"]).otherwise(far), F.greatest, far))
+    around = F.zip_with(ends, starts, lambda end, start: F.struct(end.alias("end"), (-start).alias("start")))
+    apart = lambda x, near: F.when((x["k"] >= 3) & (near["end"] <= x["s"]) & (near["start"] >= x["e"]), x)
+    return F.filter(F.zip_with(parts, around, apart), lambda x: x.isNotNull())
 
-def _sweep(parts: Column, scope: int) -> Column:
-    """The weak parts, in the order of the array, that a completing part ends before within the scope."""
+
+def _linked(parts: str, turned: str, scope: int) -> Column:
+    """The weak parts, in the order of the array, that a completing part ends before or starts behind within the
+    scope, with no wall between; ``turned`` holds the parts from the last."""
     far = F.lit(-(1 << 30))
-    start = F.struct(far.alias("secret"), far.alias("name"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        secret, name = p["k"].isin(0, 2, 4), p["k"].isin(1, 3, 5)
-        other = F.when(secret, acc["name"]).otherwise(acc["secret"])
-        linked = p["k"].isin(3, 4, 5) & (p["s"] - other <= scope)
-        moved = lambda own, last: F.when(p["k"] == WALL, far).when(own, F.greatest(last, p["e"])).otherwise(last)
-        return F.struct(
-            moved(secret, acc["secret"]).alias("secret"),
-            moved(name, acc["name"]).alias("name"),
-            F.when(linked, F.concat(acc["out"], F.array(p))).otherwise(acc["out"]).alias("out"),
+    secret = lambda p: p["k"].isin(0, 2, 4)
+    fields = {"secret": secret, "name": lambda p: p["k"].isin(1, 3, 5), "wall": lambda p: p["k"] == WALL}
+
+    def nearest(name: str, edge: Callable[[Column], Column]) -> Column:
+        return _running(
+            name,
+            lambda p: F.struct(*[F.when(which(p), edge(p)).otherwise(far).alias(n) for n, which in fields.items()]),
+            lambda a, b: F.struct(*[F.greatest(a[n], b[n]).alias(n) for n in fields]),
+            F.struct(*[far.alias(n) for n in fields]),
         )
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
-
+    def near(p: Column, seen: Column, at: Column) -> Column:
+        other = F.when(secret(p), seen["name"]).otherwise(seen["secret"])
+        return (other > seen["wall"]) & (at - other <= scope)
 
-def _mirrored(parts: Column) -> Column:
-    """The same parts as seen from the end of the text."""
-    return F.transform(
-        parts, lambda p: F.struct((-p["e"]).alias("s"), p["k"].alias("k"), (-p["s"]).alias("e"), p["v"].alias("v"))
-    )
+    before, behind = nearest(parts, lambda p: p["e"]), F.reverse(nearest(turned, lambda p: -p["s"]))
+    around = F.zip_with(before, behind, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    hit = lambda p, seen: F.when(p["k"].isin(3, 4, 5) & (near(p, seen["x"], p["s"]) | near(p, seen["y"], -p["e"])), p)
+    return F.filter(F.zip_with(parts, around, hit), lambda x: x.isNotNull())
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
     """docs (of two columns, one the text) with base_spans and linked_spans: arrays of (s, k, e, v), k the place of the kind in KINDS, sorted."""
     d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", F.lower("_t"))
     has = lambda *parts: functools.reduce(lambda a, b: a | b, [F.col("_low").contains(x) for x in parts])
-    d = d.withColumns({
-        "_assign": _found("_t", ASSIGN, 0, has("password", "passwd", "secret", "token", "api_key", "apikey"), value=True),
-        "_access": _found("_t", ACCESS, 1, F.col("_t").contains("AKIA")),
-        "_hex": _found("_t", HEX, 2, F.col("_t").rlike("[0-9a-f]{24}")),
-        "_id": _found("_t", NAMED, 3, has("access", "client", "account", "tenant")),
-        "_run": _found("_t", RUN, 4, F.col("_t").rlike("[A-Za-z0-9+/_-]{32}")),
-        "_end": _found("_t", ENDPOINT, 5, has("://") | (has("endpoint", "host") & F.col("_low").rlike("(?:endpoint|host)[\"']?\\x20*[:=]"))),
-    })
+    found = {
+        "_assign": (ASSIGN, has("password", "passwd", "secret", "token", "api_key", "apikey")),
+        "_access": (ACCESS, F.col("_t").contains("AKIA")),
+        "_hex": (HEX, F.col("_t").rlike("[0-9a-f]{24}")),
+        "_id": (NAMED, has("access", "client", "account", "tenant")),
+        "_run": (RUN, F.col("_t").rlike("[A-Za-z0-9+/_-]{32}")),
+        "_end": (ENDPOINT, has("://") | (has("endpoint", "host") & F.col("_low").rlike("(?:endpoint|host)[\"']?\\x20*[:=]"))),
+    }
+    d = d.withColumns({name: _steps("_t", pattern, likely, name == "_assign") for name, (pattern, likely) in found.items()})
+    d = d.withColumns({name: _places(name, kind) for kind, name in enumerate(found)})
     d = d.withColumn("base_spans", F.sort_array(F.concat(F.filter("_assign", lambda x: x["v"] >= 6), "_access", "_hex")))
+    none = F.array().cast(SPAN)
     weak = F.concat("_id", "_run", "_end")
-    d = d.withColumn(
-        "_weak",
-        F.filter(weak, lambda w: ~F.exists("base_spans", lambda b: (w["s"] < b["e"]) & (b["s"] < w["e"]))),
-    )
+    d = d.withColumn("_both", F.when(F.size(weak) > 0, F.sort_array(F.concat("base_spans", weak))).otherwise(none))
+    d = d.withColumn("_turned", F.reverse("_both")).withColumn("_weak", _free("_both", "_turned"))
     some = F.size("_weak") > 0
-    d = d.withColumn("_wall", _found("_t", "\\n[\\x20\\x09\\x0D]*\\n", WALL, some))
-    d = d.withColumn("_all", F.when(some, F.sort_array(F.concat("base_spans", "_weak", "_wall"))))
-    d = d.withColumn("_back", F.sort_array(_mirrored(F.col("_all"))))
-    linked = F.array_union(_sweep(F.col("_all"), scope), _mirrored(_sweep(F.col("_back"), scope)))
-    d = d.withColumn("linked_spans", F.when(some, F.sort_array(linked)).otherwise(F.array().cast(SPAN)))
-    return d.drop("_t", "_low", "_assign", "_access", "_hex", "_id", "_run", "_end", "_weak", "_wall", "_all", "_back")
+    d = d.withColumn("_wall", _steps("_t", "\\n[\\x20\\x09\\x0D]*\\n", some)).withColumn("_wall", _places("_wall", WALL))
+    d = d.withColumn("_all", F.when(some, F.sort_array(F.concat("base_spans", "_weak", "_wall"))).otherwise(none))
+    d = d.withColumn("_back", F.reverse("_all")).withColumn("linked_spans", _linked("_all", "_back", scope))
+    return d.drop("_t", "_low", *found, "_both", "_turned", "_weak", "_wall", "_all", "_back")
 
 
 def listed(spans: Column) -> Column:
@@ -134,16 +177,24 @@ def redact(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
     """docs with every span replaced by the name of its kind in brackets; overlapping spans by the first's."""
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"))
     d = scan(rows, "body", scope).withColumn("spans", F.sort_array(F.concat("base_spans", "linked_spans")))
+    some = F.size("spans") > 0
+    d = d.withColumns({
+        # parts of the text, so that a stretch of it is taken without counting characters from its begin
+        "parts": F.when(some, F.regexp_extract_all("body", F.lit(f"[\\s\\S]{{1,{PART}}}"), F.lit(0))),
+        "reach": F.concat(F.array(F.lit(0)), _running("spans", lambda x: x["e"], F.greatest, F.lit(0))),
+    })
     names = F.array(*map(F.lit, KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.substring("body", acc["at"] + 1, x["s"] - acc["at"])
-        apart = F.concat(acc["out"], kept, F.lit("["), F.get(names, x["k"]), F.lit("]"))
-        return F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], apart).otherwise(acc["out"]).alias("out")
-        )
+    def stretch(a: Column, b: Column) -> Column:
+        first = F.floor(a / PART).cast("int")
+        some = F.array_join(F.slice("parts", first + 1, F.floor((b - 1) / PART).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(some, a % PART + 1, b - a)).otherwise("")
+
+    def shown(x: Column, before: Column) -> Column:
+        masked = F.concat(stretch(before, x["s"]), F.lit("["), F.get(names, x["k"]), F.lit("]"))
+        return F.when(x["s"] >= before, masked).otherwise("")
 
-    rest = lambda acc: F.concat(acc["out"], F.substring("body", acc["at"] + 1, F.lit(1 << 30)))
-    masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("body"))
-    return d.select(F.col("row").withField(text, masked).alias("row")).select("row.*")
+    last = F.element_at("reach", -1)
+    pieces = F.zip_with("spans", F.slice("reach", 1, F.size("spans")), shown)
+    masked = F.concat(F.array_join(pieces, ""), stretch(last, F.char_length("body")))
+    return d.select(F.col("row").withField(text, F.when(some, masked).otherwise(F.col("body"))).alias("row")).select("row.*")
