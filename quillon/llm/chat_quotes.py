@@ -4,12 +4,14 @@ A line that begins with one or more ``>`` is quoted, as deep as it has them. A q
 normalised (lower case, runs of white space one space) and its hash joined to the unquoted lines of the same
 conversation; the first message that says it is its original, if that comes before the quoting one. The message
 that most of a message's lines of depth 1 come from (of equally many the later) is what it replies to; a message
-that quotes nothing known replies to the message of the turn before, if there is one, else it begins a thread.
+that quotes nothing known replies to the message before it, the one of the greatest lower turn that is there (turns may
+have gaps), and the first begins a thread.
 
 Each message gets its thread's first turn and its depth below it by pointer doubling over (conversation, turn),
 so that ordering by (conv_id, thread_turn, depth, turn) puts every reply behind what it replies to. No step
-gathers a conversation in one task: the originals are a minimum with map-side combine, one for each line, and the
-joins are on (conversation, line) and (conversation, turn), where Spark splits what is uneven.
+gathers a conversation in one task: the originals are a minimum with map-side combine, one for each line, the joins
+are on (conversation, line) and (conversation, turn), where Spark splits what is uneven, and the message before is
+looked up within ranges of (conversation, turn) that are dealt evenly, and at their edges.
 
 Null and empty texts are messages without lines. Rows without a conversation or turn are threads of their own.
 Rows of one conversation and turn are one message that has the lines of both; each row is returned. Other columns
@@ -18,7 +20,7 @@ are not read, and an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, written
@@ -38,6 +40,22 @@ def _line(x: Column) -> Column:
     )
 
 
+def _before(nodes: DataFrame) -> DataFrame:
+    """(conv_id, turn, before): before is the greatest lower turn of the conversation, null for its first.
+
+    Rows are sorted in ranges, so that one conversation may fill many; the last row of each range, one for each
+    task, is what the next range's first row looks back to."""
+    ranged = written(
+        nodes.repartitionByRange("conv_id", "turn").withColumn("part", F.spark_partition_id()), "ranged"
+    )
+    ends = ranged.groupBy("part").agg(F.max(F.struct("conv_id", "turn")).alias("end"))
+    edges = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("edge"))
+    inside = Window.partitionBy("part").orderBy("conv_id", "turn")
+    looked = ranged.withColumn("last", F.lag(F.struct("conv_id", "turn")).over(inside)).join(F.broadcast(edges), "part")
+    seen = F.coalesce("last", "edge")
+    return looked.select("conv_id", "turn", F.when(seen["conv_id"] == F.col("conv_id"), seen["turn"]).alias("before"))
+
+
 def quote_threads(messages: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(conv_id, turn, role, parent_turn, thread_turn, depth, n_quoted, n_linked, content, formatted), a row for
     each row of messages; content is the text without quoted lines."""
@@ -57,9 +75,9 @@ def quote_threads(messages: DataFrame, most_rounds: int = 64) -> DataFrame:
     votes = linked.where("level = 1").groupBy("conv_id", "turn", "origin").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("votes", "origin")).getField("origin").alias("chosen"))
     nodes = known.select("conv_id", "turn").distinct()
-    before = nodes.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
+    before = _before(nodes)
     state = written(
-        nodes.join(before, ["conv_id", "turn"], "left").join(chosen, ["conv_id", "turn"], "left")
+        before.join(chosen, ["conv_id", "turn"], "left")
         .withColumn("parent", F.coalesce("chosen", "before"))
         .select(
             "conv_id", "turn", "parent", F.coalesce("parent", "turn").alias("up"),
@@ -86,6 +104,7 @@ def quote_threads(messages: DataFrame, most_rounds: int = 64) -> DataFrame:
         state = after
     else:
         raise RuntimeError("threads have not converged")
+    release(quoted)
     counts = linked.groupBy("conv_id", "turn").agg(F.count("*").alias("linked"))
     zero = F.lit(0).cast("long")
     own = F.filter("lines", lambda x: x["level"] == 0)

@@ -70,11 +70,12 @@ votes as (select conv_id, turn, origin, count(*) as votes from linked where leve
 chosen as (
   select conv_id, turn, origin from votes
   qualify row_number() over (partition by conv_id, turn order by votes desc, origin desc) = 1),
-nodes as (select distinct conv_id, turn from conversations where conv_id is not null and turn is not null),
+nodes as (
+  select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as before
+  from (select distinct conv_id, turn from conversations where conv_id is not null and turn is not null)),
 replies as (
-  select n.conv_id, n.turn, coalesce(c.origin, b.turn) as parent from nodes n
-  left join chosen c on c.conv_id = n.conv_id and c.turn = n.turn
-  left join nodes b on b.conv_id = n.conv_id and b.turn = n.turn - 1),
+  select n.conv_id, n.turn, coalesce(c.origin, n.before) as parent from nodes n
+  left join chosen c on c.conv_id = n.conv_id and c.turn = n.turn),
 threads(conv_id, turn, root, depth) as (
   select conv_id, turn, turn, 0::bigint from replies where parent is null
   union all select r.conv_id, r.turn, t.root, t.depth + 1 from replies r
