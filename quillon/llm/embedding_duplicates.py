@@ -2,8 +2,8 @@
 
 Vectors are made unit, centred and projected on principal axes, and rotations are learned that make balanced
 binary codes lose least (iterative quantisation), each from another random start, until ``bits`` bits are there.
-The codes are cut into substrings, one multi-index table each: a vector looks up its own substring and those that
-differ in one bit among the vectors of its label. Pairs found are kept when their whole codes differ in at most as many
+The codes are cut into substrings, one multi-index table each, as long as the number of vectors has bits (16 at least),
+so that cells don't fill up as the table grows: a vector looks up its own substring and those that differ in one bit among the vectors of its label. Pairs found are kept when their whole codes differ in at most as many
 bits as pairs at the threshold do, and are then ranked by the cosine of the original vectors in double precision.
 Pairs of at least ``threshold`` are links; none below it is.
 
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import components, release, written
 
-SUBSTRING = 16
 #: The bound of whole codes is this share of their bits at least: six deviations for vectors without a common mean.
 LEAST_APART = 62 / 256
 
@@ -80,7 +79,7 @@ def trial_pairs(unit: np.ndarray, threshold: float, seed: int, most: int = 4000)
     return out
 
 
-def fitted(unit: np.ndarray, threshold: float, bits: int, most_bits: int, rounds: int, seed: int):
+def fitted(unit: np.ndarray, threshold: float, bits: int, most_bits: int, rounds: int, seed: int, substring: int):
     """(mean, projection, most_apart) of the fewest bits that suffice, or nothing where most_bits don't."""
     trials = trial_pairs(unit, threshold, seed)
     mean, projection = rotations(unit, bits, rounds, seed)
@@ -90,7 +89,8 @@ def fitted(unit: np.ndarray, threshold: float, bits: int, most_bits: int, rounds
             differ = ((x - mean) @ projection >= 0) != ((y - mean) @ projection >= 0)
             apart = differ.sum(axis=1)
             bounds.append(max(apart.mean() + 6 * apart.std(), apart.max()))
-            missed = (differ.reshape(len(x), -1, SUBSTRING).sum(axis=2) > 1).all(axis=1).sum()
+            tables = differ[:, : bits // substring * substring].reshape(len(x), -1, substring)
+            missed = (tables.sum(axis=2) > 1).all(axis=1).sum()
             enough = enough and missed <= 1 + len(x) // 1000
         if enough:
             return mean, projection, int(np.ceil(max(bounds)))
@@ -110,26 +110,29 @@ def _units(column: pa.Array, width: int) -> np.ndarray:
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
-def _near(nodes: DataFrame, width: int, mean: np.ndarray, projection: np.ndarray, most_apart: int) -> DataFrame:
+def _near(
+    nodes: DataFrame, width: int, substring: int, mean: np.ndarray, projection: np.ndarray, most_apart: int
+) -> DataFrame:
     """Pairs (a, b) that meet in a table and whose whole codes differ in at most most_apart bits."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signs = (_units(batch.column(2), width) - mean) @ projection >= 0
             words = np.packbits(signs, axis=1).view(">u8").astype(np.int64)
-            parts = np.packbits(signs, axis=1).view(">u2").astype(np.int32)
+            whole = signs[:, : signs.shape[1] // substring * substring].reshape(len(signs), -1, substring)
+            parts = whole @ (1 << np.arange(substring))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(words), pa.list_(pa.int64())), pa.array(list(parts), pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(1), pa.array(list(words), pa.list_(pa.int64())), pa.array(list(parts), pa.list_(pa.int64()))],
                 ["node", "group", "code", "parts"],
             )
 
     codes = written(
-        nodes.select("node", "group", "v").mapInArrow(coded, "node long, group long, code array<long>, parts array<int>"),
+        nodes.select("node", "group", "v").mapInArrow(coded, "node long, group long, code array<long>, parts array<long>"),
         "codes",
     )
     table = codes.select("node", "group", F.posexplode("parts").alias("at", "part"))
     held = table.select(F.col("node").alias("b"), F.xxhash64("group", "at", "part").alias("cell"))
-    masks = F.array(*[F.lit(m) for m in [0, *(1 << k for k in range(SUBSTRING))]])
+    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(substring))]])
     asked = table.withColumn("mask", F.explode(masks)).select(
         F.col("node").alias("a"), F.xxhash64("group", "at", F.col("part").bitwiseXOR(F.col("mask"))).alias("cell")
     )
@@ -154,6 +157,7 @@ def linked_vectors(
     threshold: float = 0.93,
     bits: int = 256,
     most_bits: int = 4096,
+    substring: int = 16,
     sample: int = 10_000,
     rounds: int = 30,
     seed: int = 5,
@@ -177,12 +181,13 @@ def linked_vectors(
         .select(same["node"], "h", "g", "copies", F.xxhash64("l", F.size("v")).alias("group"), "v"),
         "nodes",
     )
-    width = nodes.agg(F.max(F.size("v"))).first()[0]
+    width, count = nodes.agg(F.max(F.size("v")), F.count("*")).first()
     zero = F.lit(0).cast("long")
     if width is None:
         return rows.select(F.col("id").alias(key), zero.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    substring = min(max(substring, (count - 1).bit_length()), 48)
     picked = nodes.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toArrow()
-    found = fitted(_units(picked.column(0).combine_chunks(), width), threshold, bits, most_bits, rounds, seed)
+    found = fitted(_units(picked.column(0).combine_chunks(), width), threshold, bits, most_bits, rounds, seed, substring)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +197,7 @@ def linked_vectors(
 
     if found:
         own = nodes.select("node", "v")
-        near = _near(nodes, width, *found)
+        near = _near(nodes, width, substring, *found)
         both = near.join(own.toDF("a", "va"), "a").join(own.toDF("b", "vb"), "b")
     else:
         own = nodes.select("node", "group", "v")

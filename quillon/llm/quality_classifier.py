@@ -4,10 +4,11 @@ A Gaussian kernel over standardised document statistics is approximated by rando
 partition sums its part of the normal equations; the sums are added by row of the matrix, so that what reaches
 the driver is one matrix of a fixed size, and ridge scores are solved there. Scores are then calibrated by
 isotonic regression over a fixed grid, counted from labelled rows that the fit did not see. All labelled rows
-outside the held-out fold take part: there is no sample.
+outside the held-out fold take part: there is no sample. Partial sums are added in groups of ``TOGETHER`` partitions
+first, so that no task gathers those of all partitions.
 
 Folds go by crc32 of the key as text, modulo ``folds``: remainder 0 is held out, remainder 1 calibrates, the
-others fit. Labels that are null are not used; of several labels of a key, the least counts. The statistics come
+others fit. Labels other than 0 and 1 are not used; of several labels of a key, the least counts. The statistics come
 from the whole text alone. Null and empty texts have the statistics of no words and are scored like any other;
 repeated rows each get their score; other columns are not read. With no labelled rows, or rows of one label
 only, every score is the mean label (0.5 without labels).
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ COMMON = frozenset(w for ws in COMMON_WORDS.values() for w in ws)
 LOWER, UPPER, DIGIT, SPACE, LINE, POINT, SYMBOL, BANG, BAR, LEAD, INNER, OTHER = range(12)
 N_STATS = 17
 GRID = 500
+TOGETHER = 64
 
 
 def _byte_classes() -> np.ndarray:
@@ -135,14 +138,16 @@ def _normal_equations(rows: DataFrame, features: Fourier) -> tuple[np.ndarray, n
                 total[:, :n] += f.T @ f
                 total[:, n] += f.T @ y
         if total[n - 1, n - 1]:
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(list(total))], ["row", "cells"])
+            some = pa.array([TaskContext.get().partitionId() // TOGETHER] * n, pa.int32())
+            yield pa.RecordBatch.from_arrays([some, pa.array(range(n), pa.int32()), pa.array(list(total))], ["some", "row", "cells"])
 
     def added(parts: pa.Table) -> pa.Table:
         cells = parts.column("cells").combine_chunks().flatten().to_numpy().reshape(-1, n + 1).sum(axis=0)
         return pa.table({"row": pa.array([parts.column("row")[0].as_py()], pa.int32()), "cells": pa.array([cells])})
 
     schema = "row int, cells array<double>"
-    sums = rows.select("stats", "label").mapInArrow(part, schema).groupBy("row").applyInArrow(added, schema)
+    parts = rows.select("stats", "label").mapInArrow(part, f"some int, {schema}")
+    sums = parts.groupBy("some", "row").applyInArrow(added, schema).groupBy("row").applyInArrow(added, schema)
     matrix = np.zeros((n, n + 1))
     for r in sums.collect():  # n rows of n + 1 numbers, whatever the input
         matrix[r["row"]] = r["cells"]
@@ -180,7 +185,7 @@ def quality_scores(
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     known = (
         labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("label"))
-        .where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
+        .where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     )
     rows = written(stats.join(known, "doc_id").where(fold != 0).withColumn("fold", fold), "labelled")
     sums = [F.sum(F.get("stats", F.lit(i)).cast("double")).alias(f"s{i}") for i in range(N_STATS)]

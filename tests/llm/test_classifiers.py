@@ -36,11 +36,13 @@ def test_edges(spark, scorer, label):
     rows.append(rows[3])
     docs = spark.createDataFrame(rows, "doc_id long, text string, stats string, score double")
     told = [(k, int("bad" in (t or ""))) for k, t, _, _ in rows if k is not None and k % 2]
-    told += [(1, 1), (1, 0), (2, None), (None, 1), (9999, 1)]
+    told += [(1, 1), (1, 0), (2, None), (None, 1), (9999, 1), (4, 2), (6, -1)]
     labels = spark.createDataFrame(told, f"doc_id long, {label} int")
     got = scorer(docs, labels).collect()
     assert len(got) == len(rows) and all(r.score is not None and not np.isnan(r.score) for r in got)
-    for some in (labels.where("false"), labels.where(f"{label} = 1")):
+    known = labels.where(f"{label} in (0, 1)")
+    assert {(r.doc_id, r.score) for r in scorer(docs, known).collect()} == {(r.doc_id, r.score) for r in got}
+    for some in (labels.where("false"), labels.where(f"{label} = 1"), labels.where(f"{label} = 2")):
         assert len({r.score for r in scorer(docs, some).collect()}) == 1
     assert scorer(docs.where("false"), labels).count() == 0
 

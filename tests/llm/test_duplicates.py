@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -160,16 +161,18 @@ def test_linked_vectors(spark):
                 if x @ y >= 0.93 * np.sqrt((x @ x) * (y @ y)):
                     links.append((a[0], b[0]))
     want = roots({r[0] for r in rows}, [x for x in links if x[0] != x[1]])
-    got = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = linked_vectors(table.selectExpr("*", "1 as node", "2 as v", "3 as h")).collect()
     assert len(got) == len(rows)
     assert all(r.component_id == want[r.vec_id] and r.kept == (r.vec_id == want[r.vec_id]) for r in got)
-    assert sum(r.n_links for r in got if r.vec_id != 0) > 0
+    count = Counter(k for link in links for k in link)  # rows of one id count as many links as they are
+    assert sum(count.values()) > 200 and all(r.n_links == count[r.vec_id] for r in got if r.vec_id != 0)
     assert all(r.n_links == 0 for r in got if r.vec_id in (1000, 1001, 1002, 1003, 1004, 2000, 2001))
     assert {r.vec_id: r.n_links for r in got}[1005] == 2
 
 
-@pytest.mark.parametrize("norm", [0.02, 0.8, 0.87, 0.92])
-def test_linked_vectors_with_a_common_mean(spark, norm):
+@pytest.mark.parametrize(("norm", "substring"), [(0.02, 16), (0.02, 21), (0.8, 16), (0.87, 16), (0.92, 16)])
+def test_linked_vectors_with_a_common_mean(spark, norm, substring):
     rng = np.random.default_rng(11)
 
     def units(x):
@@ -182,7 +185,7 @@ def test_linked_vectors_with_a_common_mean(spark, norm):
     every = units(np.vstack([own, cosine * own + np.sqrt(1 - cosine**2) * aside]))
     want = (every @ every.T >= 0.93).sum(axis=1) - 1
     rows = [(k, v.tolist(), 1) for k, v in enumerate(every)]
-    got = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    got = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), substring=substring).collect()
     assert all(r.n_links <= want[r.vec_id] for r in got)
     assert sum(r.n_links for r in got) >= 0.998 * want.sum() > 0
 
