@@ -6,7 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +52,10 @@ def shared_folder(spark: SparkSession) -> str:
 BATCH_SETTING, SPARKS_DEFAULT, ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "200"
 
 
+#: Of each thread, the scopes that it is in, innermost last.
+_open = threading.local()
+
+
 def few_rows_at_once(spark: SparkSession) -> None:
     if spark.conf.get(BATCH_SETTING) == SPARKS_DEFAULT:
         spark.conf.set(BATCH_SETTING, ROWS_AT_ONCE)
@@ -62,9 +69,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
+    if getattr(_open, "scopes", None):
+        _open.scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that this thread writes inside are deleted at the end, but for those given to what it yields."""
+    tables: list[DataFrame] = []
+    keep: list[DataFrame] = []
+    _open.scopes = [*getattr(_open, "scopes", []), tables]
+    try:
+        yield lambda table: keep.append(table) or table
+        release(*(t for t in tables if not any(t is k for k in keep)))
+    finally:
+        _open.scopes = _open.scopes[:-1]
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes written tables that no later result reads."""
     for table in tables:

@@ -13,7 +13,8 @@ import numpy as np
 
 from .shingles import BYTES, _power_tables, mixed
 
-PLACE = np.uint64((1 << 28) - 1)
+#: A text is at most 2 ** 31 bytes long; marks whose bits above are equal are told apart by their places.
+PLACE = np.uint64((1 << 31) - 1)
 
 
 @dataclass
@@ -25,23 +26,22 @@ class Passages:
     last: np.ndarray
     anchor: np.ndarray
     mark: np.ndarray
-    content: np.ndarray
     bounds: np.ndarray
 
     def __getitem__(self, keep: np.ndarray) -> Passages:
-        parts = (self.text, self.first, self.last, self.anchor, self.mark, self.content)
+        parts = (self.text, self.first, self.last, self.anchor, self.mark)
         return Passages(*(x[keep] for x in parts), self.bounds)
 
 
 def passages(raw: list[bytes], length: int, gram: int) -> Passages:
-    """The passages of texts of less than 256 MB together; first and last are starts of strings."""
+    """The passages of texts of less than 2 GB together; first and last are starts of strings."""
     sizes = np.array([len(r) for r in raw], np.int64)
     bounds = np.r_[0, np.cumsum(sizes)]
     flat = np.frombuffer(b"".join(raw), np.uint8)
     starts, n, width = len(flat) - length + 1, len(flat) - gram + 1, length - gram + 1
     if starts < 1:
         none = np.empty(0, np.int64)
-        return Passages(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), bounds)
+        return Passages(none, none, none, none, none.astype(np.uint64), bounds)
     power, inverse = _power_tables(len(flat) + 1)
     upto = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum(BYTES[flat] * power[: len(flat)], dtype=np.uint64, out=upto[1:])
@@ -61,7 +61,4 @@ def passages(raw: list[bytes], length: int, gram: int) -> Passages:
     first = np.flatnonzero(np.r_[True, turn | ~inside[:-1]] & inside)
     last = np.flatnonzero(np.r_[turn | ~inside[1:], True] & inside)
     anchor = anchor[first]
-    # what a passage holds, seen from its anchor
-    shape = ((last - first).astype(np.uint64) << np.uint64(32)) | (anchor - first).astype(np.uint64)
-    content = mixed(mixed((upto[last + length] - upto[first]) * inverse[first]) + shape * np.uint64(0x9E3779B97F4A7C15))
-    return Passages(text[first].astype(np.int64), first, last, anchor, mark[anchor], content, bounds)
+    return Passages(text[first].astype(np.int64), first, last, anchor, mark[anchor], bounds)

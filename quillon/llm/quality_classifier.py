@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .piece_codec import in_portions
 from .quality_rules import COMMON_WORDS
 
@@ -216,6 +216,7 @@ def quality_scores(
             for r in counted:
                 n[r["cell"]], pos[r["cell"]] = r["n"], r["pos"]
             grid = isotonic(pos, n) if n.sum() else np.linspace(0, 1, GRID)
+    release(rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,8 @@ or before it in the same one. Strings never cross documents and are judged on th
 1. Every string lies in the passage of its anchor (see passages), and equal strings lie in passages of one mark,
    at the same place from the anchor. Marks are counted over all texts; passages whose mark occurs once hold
    nothing repeated. Those of repeated marks pass a bit filter of a fixed size, and are counted exactly after it.
-2. Equal passages are one, with its earliest place; all its other places go whole.
+2. Equal passages (of one 128-bit digest of their bytes and anchor) are one, with its earliest place; all its other
+   places go whole.
 3. Different passages of one mark are put in order together, aligned at their anchors, by inserting one symbol of
    each passage a round, from the last column to the first. The order of the suffixes that begin at a column is
    the order of the round before, read once from front to back and dealt out stably by the symbols inserted (the
@@ -15,8 +16,9 @@ or before it in the same one. Strings never cross documents and are judged on th
    strings there, and all but the earliest go. Only suffixes of one column can begin equal strings, so that a
    round holds one suffix for each passage rather than all those inserted before.
    The sequential files of a round are the arrays of a bucket: buckets hold a bounded number of passages. A mark
-   with more different passages than ``most`` is not gathered: its strings are compared by 128-bit digests, an
-   aggregation with map-side combine.
+   with more different passages than ``most`` is not gathered: its passages are cut by the place of the anchor in
+   their strings, into stretches of ``STEPS`` strings, which share all but so many bytes; these are the mark of what
+   is cut, so that few passages still have one mark, and both steps above run again on them.
 4. The stretches of each document are merged and cut from its text.
 
 Null, empty and short texts lose nothing. Rows of one key stand at one place: they don't take strings from each
@@ -28,18 +30,20 @@ shuffle and the shared folder.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_keys, release, split_by_keys, written
+from .common import only_keys, scratch, split_by_keys, written
 from .passages import Passages, passages
 from .piece_codec import in_portions
 
 FILTER_BITS = 1 << 26
+#: Strings of a cut passage, first and then of what still is too many; cuts of one string with one mark are equal.
+STEPS = (10, 1)
 AT_A_TIME = 600_000
 
 
@@ -72,27 +76,36 @@ def _repeated_marks(texts: DataFrame, length: int, gram: int) -> np.ndarray:
 
 
 def _occurrences(texts: DataFrame, bits: np.ndarray, length: int, gram: int) -> DataFrame:
-    """(mark, content, doc_id, at, n, off) of each passage that the filter lets pass: it starts at byte ``at``,
-    holds ``n`` strings, and its anchor is ``off`` bytes on."""
+    """(mark, c, d, doc_id, at, n, off) of each passage that the filter lets pass: it starts at byte ``at``, holds
+    ``n`` strings, its anchor is ``off`` bytes on, and c and d are the digest of what it holds."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch, _, own in _portions(batches, length, gram):
+        for batch, raw, own in _portions(batches, length, gram):
             place = (own.mark.view(np.int64) % FILTER_BITS).astype(np.uint64)
             own = own[(known[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+            at, n, off = own.first - own.bounds[own.text], own.last - own.first + 1, own.anchor - own.first
+            ends = at + n + length - 1
+            digests = _digests(
+                (raw[t][a:b], o) for t, a, b, o in zip(*(x.tolist() for x in (own.text, at, ends, off)), strict=True)
+            )
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(own.mark.view(np.int64)), pa.array(own.content.view(np.int64)),
-                    batch.column(0).take(pa.array(own.text)),
-                    pa.array((own.first - own.bounds[own.text]).astype(np.int32)),
-                    pa.array((own.last - own.first + 1).astype(np.int32)),
-                    pa.array((own.anchor - own.first).astype(np.int32)),
+                    pa.array(own.mark.view(np.int64)), *digests, batch.column(0).take(pa.array(own.text)),
+                    *(pa.array(x.astype(np.int32)) for x in (at, n, off)),
                 ],
-                ["mark", "content", "doc_id", "at", "n", "off"],
+                ["mark", "c", "d", "doc_id", "at", "n", "off"],
             )
 
-    return texts.mapInArrow(run, "mark long, content long, doc_id long, at int, n int, off int")
+    return texts.mapInArrow(run, "mark long, c long, d long, doc_id long, at int, n int, off int")
+
+
+def _digests(passages: Iterable[tuple[bytes, int]]) -> tuple[pa.Array, pa.Array]:
+    """Both halves of a digest of the bytes of each passage and the place of its anchor."""
+    hashed = b"".join([hashlib.blake2b(raw, digest_size=16, salt=off.to_bytes(4, "little")).digest() for raw, off in passages])
+    halves = np.frombuffer(hashed, np.int64).reshape(-1, 2)
+    return pa.array(halves[:, 0]), pa.array(halves[:, 1])
 
 
 def repeated_starts(
@@ -148,11 +161,24 @@ def repeated_starts(
     return row, a - (left - off)[row], b - (left - off)[row]
 
 
-def _compared(distinct: DataFrame, texts: DataFrame, length: int, most: int) -> DataFrame:
-    """(doc_id, a, b): stretches of bytes that go from the earliest places of different passages of one mark."""
+def _split(found: DataFrame, length: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Of passages (mark, c, d, doc_id, at, n, off and more columns): the earliest of equal ones, with ``different``,
+    how many of these their mark has; and (doc_id, a, b), the bytes of all others."""
+    columns = ["doc_id", "at", "n", "off", *more]
+    distinct = written(
+        found.groupBy("mark", "c", "d").agg(F.min(F.struct(*columns)).alias("e")).select("mark", "c", "d", "e.*"), "distinct"
+    )
+    first = distinct.select("mark", "c", "d", F.col("doc_id").alias("doc"), F.col("at").alias("place"))
+    later = (
+        found.join(first, ["mark", "c", "d"]).where("doc_id <> doc or at <> place")
+        .select("doc_id", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
+    )
     counts = distinct.groupBy("mark").agg(F.count("*").alias("different")).where("different > 1")
-    several = written(distinct.join(counts, "mark"), "several")
-    total = several.count()
+    return distinct.drop("c", "d").join(counts, "mark"), later
+
+
+def _with_cells(several: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Passages with their bytes; only texts that hold any are shuffled."""
     asked = several.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "at", "n", "off", "different")).alias("asked"))
     near = only_keys(texts, several.select("doc_id").distinct())
 
@@ -171,13 +197,41 @@ def _compared(distinct: DataFrame, texts: DataFrame, length: int, most: int) ->
                         ["mark", "different", "doc_id", "at", "n", "off", "cells"],
                     )
 
-    fetched = written(
+    return written(
         near.join(asked, "doc_id").select("doc_id", "text", "asked")
         .mapInArrow(cut, "mark long, different long, doc_id long, at int, n int, off int, cells binary"),
         "passages",
     )
-    release(several)
-    schema = "doc_id long, a int, b int"
+
+
+def _finer(passages: DataFrame, length: int, step: int) -> DataFrame:
+    """Passages cut where the place of the anchor in their strings passes a multiple of ``step``. All strings of a
+    cut share ``length - step + 1`` bytes around the anchor, which are its mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, at, n, off, cells in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                for k in range((off - n + 1) // step, off // step + 1):
+                    a, b = max(off - k * step - step + 1, 0), min(off - k * step, n - 1)
+                    shared = cells[off - k * step : off - k * step + length - step + 1]
+                    mark = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=k.to_bytes(4, "little")).digest(), "little", signed=True)
+                    rows.append((mark, doc, at + a, b - a + 1, off - a, cells[a : b + length]))
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                mark, doc, at, n, off, cells = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
+                digests = _digests((r[5], r[4]) for r in rows)
+                yield pa.RecordBatch.from_arrays(
+                    [mark, *digests, doc, at, n, off, cells], ["mark", "c", "d", "doc_id", "at", "n", "off", "cells"]
+                )
+
+    schema = "mark long, c long, d long, doc_id long, at int, n int, off int, cells binary"
+    return written(passages.select("doc_id", "at", "n", "off", "cells").mapInArrow(run, schema), "finer")
+
+
+def _ordered(passages: DataFrame, length: int, total: int) -> DataFrame:
+    """(doc_id, a, b): bytes that go from passages of one mark, by their order."""
 
     def ordered(rows: pa.Table) -> pa.Table:
         rows = rows.append_column("anchor", pa.array(rows.column("at").to_numpy() + rows.column("off").to_numpy()))
@@ -191,29 +245,10 @@ def _compared(distinct: DataFrame, texts: DataFrame, length: int, most: int) ->
         })
 
     buckets = max(1, -(-total // 20_000))
-    few = (
-        fetched.where(f"different <= {most}").withColumn("bucket", F.pmod(F.xxhash64("mark"), F.lit(buckets)))
-        .groupBy("bucket").applyInArrow(ordered, schema)
-    )
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, at, n, cells in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                digests = [hashlib.blake2b(cells[k : k + length], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests), pa.array([doc] * n, pa.int64()), pa.array(range(at, at + n), pa.int32())],
-                    ["digest", "doc_id", "at"],
-                )
-
-    each = fetched.where(f"different > {most}").select("doc_id", "at", "n", "cells").mapInArrow(
-        strings, "digest binary, doc_id long, at int"
-    )
-    earliest = each.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("e"))
-    many = (
-        each.join(earliest, "digest").where("struct(doc_id, at) <> e")
-        .select("doc_id", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
+    return (
+        passages.withColumn("bucket", F.pmod(F.xxhash64("mark"), F.lit(buckets)))
+        .groupBy("bucket").applyInArrow(ordered, "doc_id long, a int, b int")
     )
-    return few.union(many)
 
 
 def repeated_stretches(docs: DataFrame, key: str, text: str, length: int = 100, gram: int = 24, most: int = 20_000) -> DataFrame:
@@ -222,20 +257,16 @@ def repeated_stretches(docs: DataFrame, key: str, text: str, length: int = 100,
         "doc_id is not null and text is not null"
     )
     found = written(_occurrences(texts, _repeated_marks(texts, length, gram), length, gram), "occurrences")
-    distinct = written(
-        found.groupBy("mark", "content").agg(F.min(F.struct("doc_id", "at", "n", "off")).alias("e"))
-        .select("mark", "content", "e.*"),
-        "distinct",
-    )
-    first = distinct.select(
-        F.col("mark").alias("m"), F.col("content").alias("c"), F.col("doc_id").alias("d"), F.col("at").alias("s")
-    )
-    later = (
-        found.join(first, (F.col("mark") == F.col("m")) & (F.col("content") == F.col("c")))
-        .where("doc_id <> d or at <> s")
-        .select("doc_id", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
-    )
-    every = later.union(_compared(distinct.drop("content"), texts, length, most))
+    several, every = _split(found, length)
+    passages = _with_cells(written(several, "several"), texts, length)
+    for step in (*STEPS, None):
+        few, many = (passages.where(f"different {sign} {most}") for sign in ("<=", ">"))
+        more = step and not many.isEmpty()
+        every = every.union(_ordered(few if more else passages, length, passages.count()))
+        if not more:
+            break
+        several, later = _split(_finer(many, length, step), length, "cells")
+        passages, every = written(several, "passages"), every.union(later)
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("stretches"))
 
 
@@ -244,7 +275,8 @@ def _cut(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
     is without the bytes of characters that were cut in two, and null where the text is.
 
     Only texts that lose something are shuffled, to meet their stretches, and go through Python."""
-    cuts = written(repeated_stretches(docs, key, text, length), "stretches")
+    with scratch() as kept:
+        cuts = kept(written(repeated_stretches(docs, key, text, length), "stretches"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.struct("*").alias("row"))
     near, far = split_by_keys(rows, cuts.select("doc_id"))
     kind = rows.schema["row"].dataType.simpleString()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 from .piece_codec import in_portions
 
 #: What is taken off the ends of a word.
@@ -157,11 +157,12 @@ def toxicity_scores(
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(got[used])], ["at", "w"])
 
         texts = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        learned = written(
-            texts.join(F.broadcast(picked), "doc_id").select("text", "label").repartition(1)
-            .mapInArrow(train, "at int, w double"),
-            "weights",
-        ).toArrow()  # no more rows than buckets
+        with scratch():
+            learned = written(
+                texts.join(F.broadcast(picked), "doc_id").select("text", "label").repartition(1)
+                .mapInArrow(train, "at int, w double"),
+                "weights",
+            ).toArrow()  # no more rows than buckets
         if learned.num_rows:
             weights = np.zeros(buckets + 2)
             weights[learned.column("at").to_numpy()] = learned.column("w").to_numpy()
