@@ -50,6 +50,7 @@ class WordTokenizer(dict):
 
     #: Letters whose normal form is themselves, and the marks between them.
     PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    MARKS = frozenset(".,;:!?")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|[0-9]|(?:[^\\w]|_)+")
 
     def __init__(self, path: str):
@@ -73,10 +74,10 @@ class WordTokenizer(dict):
             ranks.setdefault(spelled("".join(pair.split(" ") if isinstance(pair, str) else pair)), 256 + k)
         single = 256 + len(merges)
         ranks |= {bytes([b]): single + b for b in range(256)}
-        self.id_of = np.zeros(single + 256, "<u4")
+        self.spelled = [bytes(4)] * (single + 256)
         for name, i in vocabulary.items():
             if not name.startswith("<|") and (k := ranks.get(spelled(name))) is not None:
-                self.id_of[k] = i
+                self.spelled[k] = i.to_bytes(4, "little")
         self.core = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.words: dict[str, bytes] = {}
         self[""] = b""
@@ -86,7 +87,13 @@ class WordTokenizer(dict):
             self.ends[i] = bare != name and bare != "" and set(bare) <= set(".!?")
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.PLAIN.fullmatch(chunk) and "<|" not in chunk:
+        word, mark = (chunk, "") if chunk[-1] not in self.MARKS else (chunk[:-1], chunk[-1])
+        if word.isalpha() and word.isascii():  # one word and at most one mark, as the patterns would say
+            word = word.lower()
+            ids = self.words.get(word) or self._word(word)
+            if mark:
+                ids += self.words.get(mark) or self._word(mark)
+        elif self.PLAIN.fullmatch(chunk) and "<|" not in chunk:
             parts = self.PARTS.findall(chunk.lower())
             ids = b"".join([self.words.get(w) or self._word(w) for w in parts])
         else:
@@ -95,7 +102,7 @@ class WordTokenizer(dict):
         return ids
 
     def _word(self, word: str) -> bytes:
-        ids = self.id_of[self.core.encode_single_piece(word.encode() + b"\xff")].tobytes()
+        ids = b"".join([self.spelled[k] for k in self.core.encode_single_piece(word.encode() + b"\xff")])
         self.words[word] = ids
         return ids
 
