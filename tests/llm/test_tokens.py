@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from quillon.llm.packing import WordTokenizer, pack_documents
+from quillon.llm.packing import WordTokenizer, best_cuts, pack_documents
 from quillon.llm.piece_codec import PieceCodec, encode_documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -101,3 +101,24 @@ def test_packing_repeated_rows_and_other_columns(spark):
     rows = [(1, "a b", 3, 4)] * 2
     got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string, start int, length int").coalesce(1), WORDS)
     assert sum(r.length for r in got.collect()) == 6
+
+
+def test_cuts_cost_as_little_as_any():
+    """Against every choice of cuts, without a queue: at places that documents, sentences and stretches offer."""
+    rnd = np.random.default_rng(12)
+    for _ in range(300):
+        window, total = int(rnd.integers(4, 12)), int(rnd.integers(13, 60))
+        doc_ends = np.union1d(rnd.integers(1, total, rnd.integers(1, 8)), [total])
+        sentence_ends = np.unique(rnd.integers(1, total + 1, rnd.integers(0, 10)))
+        cuts = best_cuts(doc_ends, sentence_ends, total, window, 4, 16, 1)
+
+        def price(at, doc_ends=doc_ends, sentence_ends=sentence_ends):
+            return 0 if at in doc_ends else 4 if at in sentence_ends else 16
+
+        least = {0: 0}
+        for at in range(1, total + 1):  # a stretch of 1 offers every place
+            least[at] = min(least[k] + window - (at - k) + price(at) for k in range(max(0, at - window), at))
+        own = sum(window - (b - a) + price(b) for a, b in zip([0, *cuts], cuts))
+        assert all(0 < b - a <= window for a, b in zip([0, *cuts], cuts)) and total - window < cuts[-1] <= total
+        assert own == least[cuts[-1]]
+        assert own + cuts[-1] == min(least[k] + k for k in range(total - window + 1, total + 1))
