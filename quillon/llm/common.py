@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: How many rows go to a Python worker at once: rows with texts or sets are long. Set for the session where it still
 #: has Spark's default, and left so, since the last stage of a query runs when its caller asks.
-BATCH_SETTING, SPARKS_DEFAULT, ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "200"
+BATCH_SETTING, SPARKS_DEFAULT, ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "100"
 
 
 #: Of each thread, the scopes that it is in, innermost last.
@@ -87,6 +89,19 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         _open.scopes = _open.scopes[:-1]
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The function of a stage in Python, after which the worker gives its free memory back: workers live on, and
+    what one stage had needed would stand beside what the next ones need."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes written tables that no later result reads."""
     for table in tables:

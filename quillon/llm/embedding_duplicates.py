@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, written
+from .common import components, lean, release, written
 
 #: The bound of whole codes is this share of their bits at least: six deviations for vectors without a common mean.
 LEAST_APART = 62 / 256
@@ -127,7 +127,7 @@ def _near(
             )
 
     codes = written(
-        nodes.select("node", "group", "v").mapInArrow(coded, "node long, group long, code array<long>, parts array<long>"),
+        nodes.select("node", "group", "v").mapInArrow(lean(coded), "node long, group long, code array<long>, parts array<long>"),
         "codes",
     )
     table = codes.select("node", "group", F.posexplode("parts").alias("at", "part"))
@@ -202,7 +202,7 @@ def linked_vectors(
     else:
         own = nodes.select("node", "group", "v")
         both = own.toDF("a", "group", "va").join(own.toDF("b", "group", "vb"), "group").where("a < b")
-    links = written(both.select("a", "b", "va", "vb").mapInArrow(ranked, "a long, b long"), "links")
+    links = written(both.select("a", "b", "va", "vb").mapInArrow(lean(ranked), "a long, b long"), "links")
     if found:
         release(near)
     copies = nodes.select("node", "copies")

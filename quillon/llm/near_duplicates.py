@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, only_keys, release, written
+from .common import components, lean, only_keys, release, written
 from .piece_codec import in_portions
 from .shingles import shingle_sets
 
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, bands: int, rows:
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"doc_id {kind}, n long, digest binary, bands array<int>, odd array<long>"
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), schema)
 
 
 def _may_link(sketch: int, percent: int) -> Column:
@@ -142,7 +142,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 )
 
     sets = written(
-        only_keys(texts, ids).mapInArrow(shingled, "doc_id long, digest binary, s binary").where("s <> x''")
+        only_keys(texts, ids).mapInArrow(lean(shingled), "doc_id long, digest binary, s binary").where("s <> x''")
         .dropDuplicates(["doc_id", "digest"]).select("doc_id", "s"),
         "sets",
     )
@@ -158,7 +158,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    out = written(both.mapInArrow(compare, "a long, b long"), "links")
+    out = written(both.mapInArrow(lean(compare), "a long, b long"), "links")
     release(sets, pairs)
     return out
 

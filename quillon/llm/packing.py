@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .piece_codec import in_portions
 
 SCHEMA = (
@@ -262,4 +263,4 @@ def pack_documents(
         yield from out(packer.cut(last=True))
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, {SCHEMA}")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {kind}, {SCHEMA}")

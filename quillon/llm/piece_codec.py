@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MARK = "▁"
 CUT = "\ue000"
 NONE = np.iinfo(np.int32).max
 #: Segments a worker keeps, and characters of text that it takes at a time.
-KEPT, AT_A_TIME = 400_000, 2_000_000
+KEPT, AT_A_TIME = 400_000, 400_000
 
 
 class PieceCodec:
@@ -246,4 +248,4 @@ def encode_documents(
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, {schema}")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {kind}, {schema}")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import lean, release, written
 from .piece_codec import in_portions
 from .quality_rules import COMMON_WORDS
 
@@ -102,7 +102,7 @@ def statistics_table(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), stats], ["doc_id", "stats"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return written(docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {kind}, stats array<float>"), "stats")
+    return written(docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"doc_id {kind}, stats array<float>"), "stats")
 
 
 class Fourier:
@@ -146,7 +146,7 @@ def _normal_equations(rows: DataFrame, features: Fourier) -> tuple[np.ndarray, n
         return pa.table({"row": pa.array([parts.column("row")[0].as_py()], pa.int32()), "cells": pa.array([cells])})
 
     schema = "row int, cells array<double>"
-    parts = rows.select("stats", "label").mapInArrow(part, f"some int, {schema}")
+    parts = rows.select("stats", "label").mapInArrow(lean(part), f"some int, {schema}")
     sums = parts.groupBy("some", "row").applyInArrow(added, schema).groupBy("row").applyInArrow(added, schema)
     matrix = np.zeros((n, n + 1))
     for r in sums.collect():  # n rows of n + 1 numbers, whatever the input
@@ -209,7 +209,7 @@ def quality_scores(
                     yield pa.RecordBatch.from_arrays([pa.array(_cell(raw), pa.int32()), batch.column(1)], ["cell", "label"])
 
             counted = (
-                rows.where("fold = 1").select("stats", "label").mapInArrow(cells, "cell int, label double")
+                rows.where("fold = 1").select("stats", "label").mapInArrow(lean(cells), "cell int, label double")
                 .groupBy("cell").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()
             )
             n, pos = np.zeros(GRID), np.zeros(GRID)
@@ -227,7 +227,7 @@ def quality_scores(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["doc_id", "score"])
 
     kind = stats.schema["doc_id"].dataType.simpleString()
-    scored = stats.select("doc_id", "stats").mapInArrow(score, f"doc_id {kind}, score double")
+    scored = stats.select("doc_id", "stats").mapInArrow(lean(score), f"doc_id {kind}, score double")
     return scored.select(
         F.col("doc_id").alias(key),
         F.coalesce(fold == 0, F.lit(False)).alias("held_out"),

@@ -37,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_keys, scratch, split_by_keys, written
+from .common import lean, only_keys, scratch, split_by_keys, written
 from .passages import Passages, passages
 from .piece_codec import in_portions
 
 FILTER_BITS = 1 << 26
 #: Strings of a cut passage, first and then of what still is too many; cuts of one string with one mark are equal.
 STEPS = (10, 1)
-AT_A_TIME = 600_000
+AT_A_TIME = 400_000
 
 
 def _portions(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[pa.RecordBatch, list, Passages]]:
@@ -65,7 +65,7 @@ def _repeated_marks(texts: DataFrame, length: int, gram: int) -> np.ndarray:
 
     place = F.pmod("mark", F.lit(FILTER_BITS))
     cells = (
-        texts.mapInArrow(marks, "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
+        texts.mapInArrow(lean(marks), "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
         .select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("cell"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     ).toArrow()  # a cell for each 64 bits of the filter at most
@@ -98,7 +98,7 @@ def _occurrences(texts: DataFrame, bits: np.ndarray, length: int, gram: int) ->
                 ["mark", "c", "d", "doc_id", "at", "n", "off"],
             )
 
-    return texts.mapInArrow(run, "mark long, c long, d long, doc_id long, at int, n int, off int")
+    return texts.mapInArrow(lean(run), "mark long, c long, d long, doc_id long, at int, n int, off int")
 
 
 def _digests(passages: Iterable[tuple[bytes, int]]) -> tuple[pa.Array, pa.Array]:
@@ -199,7 +199,7 @@ def _with_cells(several: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 
     return written(
         near.join(asked, "doc_id").select("doc_id", "text", "asked")
-        .mapInArrow(cut, "mark long, different long, doc_id long, at int, n int, off int, cells binary"),
+        .mapInArrow(lean(cut), "mark long, different long, doc_id long, at int, n int, off int, cells binary"),
         "passages",
     )
 
@@ -227,7 +227,7 @@ def _finer(passages: DataFrame, length: int, step: int) -> DataFrame:
                 )
 
     schema = "mark long, c long, d long, doc_id long, at int, n int, off int, cells binary"
-    return written(passages.select("doc_id", "at", "n", "off", "cells").mapInArrow(run, schema), "finer")
+    return written(passages.select("doc_id", "at", "n", "off", "cells").mapInArrow(lean(run), schema), "finer")
 
 
 def _ordered(passages: DataFrame, length: int, total: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _cut(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
 
     own = F.col("row").getField(text).alias("body")
     cut = near.join(cuts, "doc_id", "left").select(own, "stretches", "row").mapInArrow(
-        run, f"bytes long, removed long, spans long, kept binary, rest string, row {kind}"
+        lean(run), f"bytes long, removed long, spans long, kept binary, rest string, row {kind}"
     )
     zero = F.lit(0).cast("long")
     raw = F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")

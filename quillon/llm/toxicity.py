@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import lean, scratch, written
 from .piece_codec import in_portions
 
 #: What is taken off the ends of a word.
@@ -160,7 +160,7 @@ def toxicity_scores(
         with scratch():
             learned = written(
                 texts.join(F.broadcast(picked), "doc_id").select("text", "label").repartition(1)
-                .mapInArrow(train, "at int, w double"),
+                .mapInArrow(lean(train), "at int, w double"),
                 "weights",
             ).toArrow()  # no more rows than buckets
         if learned.num_rows:
@@ -180,7 +180,7 @@ def toxicity_scores(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(F.col(key), F.col(text)).mapInArrow(score, f"doc_id {kind}, score double")
+    scored = docs.select(F.col(key), F.col(text)).mapInArrow(lean(score), f"doc_id {kind}, score double")
     return scored.select(
         F.col("doc_id").alias(key),
         F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"),
