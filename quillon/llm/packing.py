@@ -107,11 +107,14 @@ class WordTokenizer(dict):
         self.words[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.words.clear()
+        self[""] = b""
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > KEPT:
-            self.clear()
-            self.words.clear()
-            self[""] = b""
+            self.forget()
         return [b"".join([self[c] for c in t.replace("\n", " ").split(" ")]) for t in texts]
 
 
@@ -261,6 +264,7 @@ def pack_documents(
                 if packer.total >= AT_A_TIME:
                     yield from out(packer.cut())
         yield from out(packer.cut(last=True))
+        own.forget()  # a task meets most of its chunks anew, and the worker lives on through other stages
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {kind}, {SCHEMA}")
