@@ -31,6 +31,8 @@ CUT = "\ue000"
 NONE = np.iinfo(np.int32).max
 #: Segments a worker keeps, and characters of text that it takes at a time.
 KEPT, AT_A_TIME = 400_000, 400_000
+#: Bytes of text whose new segments are merged together.
+MERGED = 2_000_000
 
 
 class PieceCodec:
@@ -205,6 +207,20 @@ def in_portions(texts: list[str], most: int = AT_A_TIME) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
+def joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have some ``most`` bytes: rounds over few symbols cost as many calls."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encode_documents(
     docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -217,11 +233,11 @@ def encode_documents(
         own = codec(model)
         listed: dict[str, str] = {"": ""}
         spelled: dict[str, str] = {"": ""}
-        for batch in batches:
+        for batch in joined(batches, MERGED):
             keys = batch.column(0)
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out: list[list] = [[], [], [], [], []]
-            for begin, end in in_portions(texts):
+            for begin, end in in_portions(texts, MERGED):
                 parts = [own.segments(t) if t else [] for t in texts[begin:end]]
                 new = [s for s in set().union(*parts) if s not in listed]
                 if len(listed) + len(new) > KEPT:
