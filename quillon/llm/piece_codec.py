@@ -99,8 +99,8 @@ class PieceCodec:
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, at, -1)
 
-    def merge(self, segments: list[str]) -> list[np.ndarray]:
-        """The final symbols of each segment, by vectorised merge rounds."""
+    def merge(self, segments: list[str]) -> list[list[int]]:
+        """The ids of each segment, by vectorised merge rounds."""
         lengths = np.array([len(s) for s in segments])
         points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
         sym = self.of_point[points]
@@ -152,18 +152,20 @@ class PieceCodec:
             joined = (look + 1 < len(sym)) & (own[after] == own[look])
             pair[look] = np.where(joined, self._pairs(sym[look], sym[after]), -1)
         if not done:
-            return [np.empty(0, np.int64) for _ in segments]
+            return [[] for _ in segments]
         own, sym = (np.concatenate(x) for x in zip(*done, strict=True))
         by = np.argsort(own, kind="stable")
-        counts = np.bincount(own, minlength=len(segments))
-        return np.split(sym[by], np.cumsum(counts)[:-1])
+        ends = np.cumsum(np.bincount(own, minlength=len(segments))).tolist()
+        final = sym[by].tolist()
+        out = [final[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for k in np.unique(own[sym >= self.n_pieces]).tolist():
+            out[k] = self._ids(out[k])
+        return out
 
-    def ids(self, symbols: np.ndarray) -> list[int]:
+    def _ids(self, symbols: list[int]) -> list[int]:
         """Ids of final symbols: a character that is no piece becomes the ids of its bytes."""
-        if (symbols < self.n_pieces).all():
-            return symbols.tolist()
         out: list[int] = []
-        for s in symbols.tolist():
+        for s in symbols:
             if s < self.n_pieces:
                 out.append(s)
             else:
@@ -187,7 +189,7 @@ class PieceCodec:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        return [i for s in self.merge([s for s in self.segments(text) if s]) for i in self.ids(s)]
+        return [i for ids in self.merge([s for s in self.segments(text) if s]) for i in ids]
 
 
 @lru_cache(maxsize=2)
@@ -243,8 +245,7 @@ def encode_documents(
                 if len(listed) + len(new) > KEPT:
                     listed, spelled = {"": ""}, {"": ""}
                     new = [s for s in set().union(*parts) if s]
-                for s, symbols in zip(new, own.merge(new), strict=True):
-                    ids = own.ids(symbols)
+                for s, ids in zip(new, own.merge(new), strict=True):
                     listed[s] = ",".join(map(str, ids)) + ","
                     spelled[s] = own.decode(ids, begins=False)
                 for segs in parts:
