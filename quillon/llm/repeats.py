@@ -34,10 +34,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, only_keys, scratch, split_by_keys, written
+from .common import lean, scratch, split_by_keys, written
 from .passages import Passages, passages
 from .piece_codec import in_portions
 
@@ -45,6 +45,8 @@ FILTER_BITS = 1 << 26
 #: Strings of a cut passage, first and then of what still is too many; cuts of one string with one mark are equal.
 STEPS = (10, 1)
 AT_A_TIME = 400_000
+#: Bytes of a text that meet their passages at once.
+SLICE = 4096
 
 
 def _portions(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[pa.RecordBatch, list, Passages]]:
@@ -178,28 +180,21 @@ def _split(found: DataFrame, length: int, *more: str) -> tuple[DataFrame, DataFr
 
 
 def _with_cells(several: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """Passages with their bytes; only texts that hold any are shuffled."""
-    asked = several.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "at", "n", "off", "different")).alias("asked"))
-    near = only_keys(texts, several.select("doc_id").distinct())
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                raw = text.encode()
-                rows = [(x["mark"], x["different"], doc, x["at"], x["n"], x["off"], raw[x["at"] : x["at"] + x["n"] + length - 1]) for x in asked]
-                # of rows with one key another text may have come
-                rows = [r for r in rows if len(r[6]) == r[4] + length - 1]
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                        ["mark", "different", "doc_id", "at", "n", "off", "cells"],
-                    )
-
+    """Passages with their bytes; only texts that hold any are shuffled, in slices of bounded size, each with what
+    a passage that starts in it reaches beyond it."""
+    size = F.octet_length("raw")
+    parts = (
+        split_by_keys(texts, several.select("doc_id"))[0].select("doc_id", F.col("text").cast("binary").alias("raw"))
+        .select("doc_id", "raw", F.explode(F.sequence(F.lit(0), F.floor(size / SLICE).cast("int"))).alias("slice"))
+        .select("doc_id", "slice", F.substring("raw", F.col("slice") * SLICE + 1, F.lit(SLICE + 2 * length)).alias("raw"))
+    )
+    cells = F.substring("raw", F.col("at") % SLICE + 1, F.col("n") + length - 1)
+    asked = several.withColumn("slice", F.floor(F.col("at") / SLICE).cast("int"))
     return written(
-        near.join(asked, "doc_id").select("doc_id", "text", "asked")
-        .mapInArrow(lean(cut), "mark long, different long, doc_id long, at int, n int, off int, cells binary"),
+        asked.join(parts, ["doc_id", "slice"])
+        .select("mark", "different", "doc_id", "at", "n", "off", cells.alias("cells"))
+        # of rows with one key another text may have come
+        .where(F.octet_length("cells") == F.col("n") + length - 1),
         "passages",
     )
 
@@ -251,8 +246,19 @@ def _ordered(passages: DataFrame, length: int, total: int) -> DataFrame:
     )
 
 
+def _merged(every: DataFrame) -> DataFrame:
+    """(doc_id, stretches) of rows (doc_id, a, b): stretches that overlap or touch are one before a document's are
+    gathered, so that the array holds what is cut, not a passage each."""
+    ordered = Window.partitionBy("doc_id").orderBy("a", "b")
+    reach = F.max("b").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    runs = every.withColumn("apart", F.coalesce(F.col("a") > reach, F.lit(True)).cast("long"))
+    runs = runs.withColumn("run", F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    one = runs.groupBy("doc_id", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return one.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("stretches"))
+
+
 def repeated_stretches(docs: DataFrame, key: str, text: str, length: int = 100, gram: int = 24, most: int = 20_000) -> DataFrame:
-    """(doc_id, stretches): arrays of (a, b), bytes a to b - 1 go; overlaps are not merged yet."""
+    """(doc_id, stretches): arrays of (a, b), bytes a to b - 1 go; no two of a document overlap or touch."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(
         "doc_id is not null and text is not null"
     )
@@ -267,7 +273,7 @@ def repeated_stretches(docs: DataFrame, key: str, text: str, length: int = 100,
             break
         several, later = _split(_finer(many, length, step), length, "cells")
         passages, every = written(several, "passages"), every.union(later)
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("stretches"))
+    return _merged(every)
 
 
 def _cut(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:

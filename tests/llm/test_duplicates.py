@@ -225,3 +225,33 @@ def test_repeats(spark, most, monkeypatch):
     kept = {r.doc_id: r.text for r in cut_repeats(docs.selectExpr("text", "doc_id", "1 as _bits", "2 as stretches")).collect()}
     assert kept[5001] is None
     assert all(kept[k] == w[3].decode("utf-8", "ignore") for k, w in want.items() if k != 5001)
+
+
+def test_repeats_in_long_texts_and_odd_keys(spark):
+    rnd = random.Random(8)
+    pool = "".join(rnd.choice("abcdefgh ") for _ in range(6000))
+
+    def mixed(n):
+        text = ""
+        while len(text) < n:
+            begin, size = rnd.randrange(len(pool)), rnd.randint(90, 700)
+            cut = list(pool[begin : begin + size])
+            cut[rnd.randrange(len(cut))] = rnd.choice("xyz")  # passages that agree but for a byte
+            text += "".join(cut) + str(rnd.random())
+        return text
+
+    # over several slices, and at their edges
+    edge = [pool[: 4096 + d] + str(d) + pool[4000 : 4300 + d] for d in (-101, -100, -99, -1, 0, 1)]
+    rows = [(k, t) for k, t in enumerate([*edge, *(mixed(15_000) for _ in range(4))])]
+    want = cut_by_hand(rows)
+    # rows of one key stand at one place, those without a key at none
+    again = "".join(rnd.choice("qrst") for _ in range(300))
+    docs = spark.createDataFrame(
+        [*rows, (70, again), (70, again), (71, again), (None, again), (None, pool)], "doc_id long, text string"
+    )
+    got = without_repeats(docs).collect()
+    told = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans, bytes(r.kept)) for r in got}
+    assert len(got) == len(rows) + 5 and sum(r.doc_id == 70 for r in got) == 2
+    assert all(told[k, w[0]] == w[1:] for k, w in want.items()) and sum(w[1] for w in want.values()) > 20_000
+    assert told[70, 300] == (0, 0, again.encode()) and told[71, 300] == (300, 1, b"")
+    assert told[None, 300] == (0, 0, again.encode()) and told[None, 6000] == (0, 0, pool.encode())
