@@ -1,13 +1,15 @@
 """Near duplicates, linked vectors and repeated strings against brute force."""
 
+import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from quillon.llm import repeats
+from quillon.llm import embedding_duplicates, repeats
 from quillon.llm.common import components, split_by_keys, without_keys
 from quillon.llm.embedding_duplicates import linked_vectors
 from quillon.llm.near_duplicates import near_duplicates, odd_sketches
@@ -190,6 +192,66 @@ def test_linked_vectors_with_a_common_mean(spark, norm, substring):
     assert sum(r.n_links for r in got) >= 0.998 * want.sum() > 0
 
 
+def test_vectors_are_not_fitted_in_the_driver(spark, monkeypatch):
+    driver, own = os.getpid(), embedding_duplicates.fitted
+
+    def fitted(*args):
+        assert os.getpid() != driver
+        return own(*args)
+
+    monkeypatch.setattr(embedding_duplicates, "fitted", fitted)
+    rows = [(k, [1.0, k / 10, 0.5], 1) for k in range(40)]
+    got = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    every = np.array([r[1] for r in rows])
+    every /= np.sqrt((every * every).sum(axis=1, keepdims=True))
+    want = (every @ every.T >= 0.93).sum(axis=1) - 1
+    assert [r.n_links for r in sorted(got)] == want.tolist()
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_look_ups_in_slices(monkeypatch, most):
+    monkeypatch.setattr(embedding_duplicates, "CANDIDATES", most)
+    rng = np.random.default_rng(17)
+    every = np.repeat(rng.normal(size=(20, 32)), 30, axis=0) + rng.normal(size=(600, 32)) * 0.1
+    unit = every / np.sqrt((every * every).sum(axis=1, keepdims=True))
+    *code, apart = embedding_duplicates.fitted(unit, 0.93, 256, 256, 5, 5, 16)
+    linked = np.triu(unit @ unit.T >= 0.93, 1)
+    for first, part in ((600, linked), (250, linked & (np.arange(600)[:, None] < 250) & (np.arange(600) >= 250))):
+        links = embedding_duplicates._Links(every, np.zeros(600, np.int64), np.ones(600, np.int64), 0.93)
+        embedding_duplicates._search(links, first, first == 600, 16, code, apart)
+        assert links.more.tolist() == (part.sum(axis=0) + part.sum(axis=1)).tolist()
+        want = roots(range(600), np.argwhere(part).tolist())
+        assert links.found(np.arange(600)).tolist() == [want[k] for k in range(600)]
+
+
+def test_wide_vectors_are_fitted_in_little_memory():
+    every = np.random.default_rng(7).normal(size=(2500, 1200))
+    every /= np.sqrt((every * every).sum(axis=1, keepdims=True))
+    tracemalloc.start()
+    try:
+        assert embedding_duplicates.fitted(every, 0.93, 256, 256, 2, 5, 16)
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize(("chunk", "most_bits"), [(40, 256), (40, 0), (500, 256), (500, 0)])
+def test_chunks_of_labels(spark, chunk, most_bits):
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(30, 32))
+    every = (centres[rng.integers(0, 30, 600)] + rng.normal(size=(600, 32)) * rng.choice([0, 0.1, 0.25], (600, 1))).astype(np.float32)
+    # a large label, some of middle size, many small ones that hold vectors of each other
+    labels = np.where(rng.random(600) < 0.5, 0, np.where(rng.random(600) < 0.5, rng.integers(1, 5, 600), rng.integers(5, 90, 600)))
+    rows = [(k, v.tolist(), int(g)) for k, (v, g) in enumerate(zip(every, labels, strict=True))]
+    got = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), chunk=chunk, most_bits=most_bits)
+    unit = every.astype(float) / np.sqrt((every.astype(float) ** 2).sum(axis=1, keepdims=True))
+    linked = (unit @ unit.T >= 0.93) & (labels[:, None] == labels) & ~np.eye(600, dtype=bool)
+    want = roots(range(600), np.argwhere(linked).tolist())
+    got = sorted(got.collect())
+    assert [r.n_links for r in got] == linked.sum(axis=1).tolist() and linked.sum() > 1000
+    assert [r.component_id for r in got] == [want[k] for k in range(600)]
+
+
 def cut_by_hand(rows):
     seen, out = set(), {}
     for key, text in sorted(rows, key=lambda r: r[0]):
