@@ -143,8 +143,8 @@ def _filled(columns: list[pa.Array], width: int) -> np.ndarray:
 class _Links:
     """What the links of a task come to: for each vector how many links it has, and a root, least in the end."""
 
-    def __init__(self, vectors: np.ndarray, groups: np.ndarray, copies: np.ndarray, threshold: float):
-        self.vectors, self.groups, self.copies, self.threshold = vectors, groups, copies, threshold
+    def __init__(self, vectors: np.ndarray, nodes: np.ndarray, groups: np.ndarray, copies: np.ndarray, threshold: float):
+        self.vectors, self.nodes, self.groups, self.copies, self.threshold = vectors, nodes, groups, copies, threshold
         self.more, self.root = np.zeros(len(vectors), np.int64), np.arange(len(vectors))
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> None:
@@ -153,7 +153,7 @@ class _Links:
         for k in range(0, len(a), step):
             x, y = a[k : k + step], b[k : k + step]
             cosine = np.einsum("ij,ij->i", _units(self.vectors[x]), _units(self.vectors[y]))
-            keep = (cosine >= self.threshold) & (self.groups[x] == self.groups[y])
+            keep = (cosine >= self.threshold) & (self.groups[x] == self.groups[y]) & (self.nodes[x] != self.nodes[y])
             x, y = x[keep], y[keep]
             np.add.at(self.more, x, self.copies[y])
             np.add.at(self.more, y, self.copies[x])
@@ -323,7 +323,7 @@ def linked_vectors(
         if not both:  # those of chunk i first
             turn = np.argsort(c != i, kind="stable")
             node, group, copies, filled = node[turn], group[turn], copies[turn], filled[turn]
-        links = _Links(filled, group, copies, threshold)
+        links = _Links(filled, node, group, copies, threshold)
         if found["mean"] is None:
             _all_pairs(links, first, both)
         else:

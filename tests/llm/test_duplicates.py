@@ -208,6 +208,12 @@ def test_vectors_are_not_fitted_in_the_driver(spark, monkeypatch):
     assert [r.n_links for r in sorted(got)] == want.tolist()
 
 
+def test_rows_of_one_id(spark):
+    rows = [(1, [1.0, 0.1], 1), (1, [1.0, 0.2], 1), (2, [1.0, 0.15], 1), (3, [-1.0, 0.0], 1), (3, [-1.0, 0.1], 1)]
+    got = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 0, 3)]
+
+
 @pytest.mark.parametrize("most", [1, 50, 10**6])
 def test_look_ups_in_slices(monkeypatch, most):
     monkeypatch.setattr(embedding_duplicates, "CANDIDATES", most)
@@ -217,7 +223,7 @@ def test_look_ups_in_slices(monkeypatch, most):
     *code, apart = embedding_duplicates.fitted(unit, 0.93, 256, 256, 5, 5, 16)
     linked = np.triu(unit @ unit.T >= 0.93, 1)
     for first, part in ((600, linked), (250, linked & (np.arange(600)[:, None] < 250) & (np.arange(600) >= 250))):
-        links = embedding_duplicates._Links(every, np.zeros(600, np.int64), np.ones(600, np.int64), 0.93)
+        links = embedding_duplicates._Links(every, np.arange(600), *np.ones((2, 600), np.int64), 0.93)
         embedding_duplicates._search(links, first, first == 600, 16, code, apart)
         assert links.more.tolist() == (part.sum(axis=0) + part.sum(axis=1)).tolist()
         want = roots(range(600), np.argwhere(part).tolist())
